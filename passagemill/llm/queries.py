@@ -11,6 +11,10 @@ REGISTRY = [
     ("p6_found", "p06_history", "found"),
     ("p6_decisions", "p06_history", "decisions"),
     ("p6_representatives", "p06_history", "representatives"),
+    ("p9_found", "p09_leaks", "found"),
+    ("p9_matches", "p09_leaks", "matches"),
+    ("p10_found", "p10_residue", "found"),
+    ("p10_scores", "p10_residue", "scores"),
 ]
 
 

@@ -8,9 +8,16 @@ import importlib
 REGISTRY = [
     ("p2_found", "p02_overlap", "found"),
     ("p2_report", "p02_overlap", "report"),
+    ("p5_percentiles", "p05_percentiles", "percentiles"),
+    ("p5_combined", "p05_percentiles", "combined"),
+    ("p5_day_digests", "p05_percentiles", "day_digests"),
+    ("p5_group_counts", "p05_percentiles", "group_counts"),
     ("p6_found", "p06_history", "found"),
     ("p6_decisions", "p06_history", "decisions"),
     ("p6_representatives", "p06_history", "representatives"),
+    ("p7_pieces", "p07_split", "pieces"),
+    ("p8_assignments", "p08_packing", "assignments"),
+    ("p8_fill", "p08_packing", "fill"),
     ("p9_found", "p09_leaks", "found"),
     ("p9_matches", "p09_leaks", "matches"),
     ("p10_found", "p10_residue", "found"),

@@ -8,8 +8,11 @@ import importlib
 REGISTRY = [
     ("p2_found", "p02_overlap", "found"),
     ("p2_report", "p02_overlap", "report"),
+    ("p3_found", "p03_sentences", "found"),
+    ("p3_sentences", "p03_sentences", "sentences"),
+    ("p4_found", "p04_language", "found"),
+    ("p4_segments", "p04_language", "assigned"),
     ("p5_percentiles", "p05_percentiles", "percentiles"),
-    ("p5_combined", "p05_percentiles", "combined"),
     ("p5_day_digests", "p05_percentiles", "day_digests"),
     ("p5_group_counts", "p05_percentiles", "group_counts"),
     ("p6_found", "p06_history", "found"),

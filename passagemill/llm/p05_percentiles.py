@@ -141,39 +141,43 @@ def day_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_digests(partial_digests(samples(table(spark, sf_dir, "latency_sample")), keys), keys)
 
 
-def certified(values: DataFrame, digests: DataFrame) -> DataFrame:
-    """Percentiles with the rank error that the counting pass finds; estimates are one row per group, broadcast only if they are few."""
+def certified(values: DataFrame, digests: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The digests with their percentiles and the rank error that the counting pass finds; the estimates, one row per group, are broadcast only if they are few."""
     names = [f"p{round(q * 100)}" for q in QUANTILES]
+    types = {f.name: f.dataType.simpleString() for f in digests.schema.fields}
 
     def quantiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             e = np.array([estimate(m, w, lo, hi) for m, w, lo, hi in zip(b["means"], b["weights"], b["low"], b["high"])]).reshape(-1, len(names))
-            yield b[[*KEYS, "n"]].assign(**{x: e[:, i] for i, x in enumerate(names)})
+            yield b.assign(**{x: e[:, i] for i, x in enumerate(names)})
 
-    est = written(digests.mapInPandas(quantiles, "metric string, language string, decision string, n bigint, " + ", ".join(f"{x} double" for x in names)), "p5-estimates")
+    est = written(digests.mapInPandas(quantiles, ", ".join(f"`{k}` {types[k]}" for k in digests.columns) + ", " + ", ".join(f"{x} double" for x in names)), "p5-estimates")
     few = est.count() <= 50_000
-    side = est.drop("n").select(*[F.col(k).alias("e_" + k) for k in KEYS], *names)
-    on = [F.col(k).eqNullSafe(F.col("e_" + k)) for k in KEYS]
+    side = est.select(*[F.col(k).alias("e_" + k) for k in keys], *names)
+    on = [F.col(k).eqNullSafe(F.col("e_" + k)) for k in keys]
     met = values.join(F.broadcast(side) if few else side, on)
-    counts = met.groupBy(*KEYS).agg(*[F.count_if(F.col("value") < F.col(x)).alias("b_" + x) for x in names], *[F.count_if(F.col("value") <= F.col(x)).alias("u_" + x) for x in names])
-    counts = counts.select(*[F.col(k).alias("e_" + k) for k in KEYS], *["b_" + x for x in names], *["u_" + x for x in names])
+    counts = met.groupBy(*keys).agg(*[F.count_if(F.col("value") < F.col(x)).alias("b_" + x) for x in names], *[F.count_if(F.col("value") <= F.col(x)).alias("u_" + x) for x in names])
+    counts = counts.select(*[F.col(k).alias("e_" + k) for k in keys], *["b_" + x for x in names], *["u_" + x for x in names])
     out = est.join(counts, on)
     err = [F.greatest(F.lit(0.0), F.col("b_" + x) - F.col("n") * q, F.col("n") * q - F.col("u_" + x)) / F.col("n") for x, q in zip(names, QUANTILES)]
     out = out.withColumn("rank_error", F.greatest(*err))
-    return out.select(*KEYS, "n", *names, "rank_error", F.lit(BOUND).alias("rank_error_bound"), (F.col("rank_error") <= BOUND).alias("within_bound"))
+    return out.select(*keys, "n", *names, "rank_error", F.lit(BOUND).alias("rank_error_bound"), (F.col("rank_error") <= BOUND).alias("within_bound"), "low", "high", "means", "weights")
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p50, p90, p95 and p99 of total_backend_ms and stages_ms.rerank per language and decision."""
-    values = written(samples(table(spark, sf_dir, "latency_sample")), "p5-samples")
-    return certified(values, merge_digests(partial_digests(values, KEYS), KEYS))
+    """p50, p90, p95 and p99 of total_backend_ms and stages_ms.rerank per language and decision: of all samples (grain all), per arrival class and per day and arrival class.
 
-
-def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles, combined from the digests of days and arrival classes."""
+    The digests of the finer grains are the form in which results combine: those of the coarser grains are merged from them. Each row is certified against the values themselves.
+    """
     values = written(samples(table(spark, sf_dir, "latency_sample")), "p5-samples")
-    keys = [*KEYS, "day", "arrival"]
-    return certified(values, merge_digests(written(merge_digests(partial_digests(values, keys), keys), "p5-days"), KEYS))
+    leaf = written(merge_digests(partial_digests(values, [*KEYS, "day", "arrival"]), [*KEYS, "day", "arrival"]), "p5-days")
+    arrival = written(merge_digests(leaf, [*KEYS, "arrival"]), "p5-arrival")
+    none = {"day": F.lit(None).cast("date"), "arrival": F.lit(None).cast("string")}
+    parts = []
+    for grain, keys, digests in (("day and arrival", [*KEYS, "day", "arrival"], leaf), ("arrival", [*KEYS, "arrival"], arrival), ("all", KEYS, merge_digests(arrival, KEYS))):
+        c = certified(values, digests, keys)
+        parts.append(c.select(F.lit(grain).alias("grain"), *KEYS, *[F.col(k) if k in keys else none[k].alias(k) for k in ("day", "arrival")], *[x for x in c.columns if x not in keys]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import importlib
 
 #: Query name, module, function.
 REGISTRY = [
+    ("p1_found", "p01_boilerplate", "found"),
+    ("p1_main_text", "p01_boilerplate", "main_text"),
     ("p2_found", "p02_overlap", "found"),
     ("p2_report", "p02_overlap", "report"),
     ("p3_found", "p03_sentences", "found"),

@@ -30,6 +30,11 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; what a lambda refers to from outside is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -77,8 +82,7 @@ def sentences_keeping_marks(c: Column) -> Column:
 
 def sentences_first(c: Column, most: int = 6) -> Column:
     """The first sentences without end marks; the text itself if there is none."""
-    s = F.slice(_trimmed(F.split(c, r"[.!?।॥\n]+")), 1, most)
-    return F.when(F.size(s) > 0, s).otherwise(F.array(c))
+    return let(F.slice(_trimmed(F.split(c, r"[.!?।॥\n]+")), 1, most), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(c)))
 
 
 def overlap_ratio(query_tokens: Column, text_tokens: Column) -> Column:
@@ -87,8 +91,8 @@ def overlap_ratio(query_tokens: Column, text_tokens: Column) -> Column:
 
 def token_overlap_score(query: Column, chunk: Column) -> Column:
     """Chunk tokens that the query has, repeats counted, damped by the chunk's length."""
-    q, c = tokens(query), tokens(chunk)
-    return F.size(F.filter(c, lambda t: F.array_contains(q, t))) / (F.log(F.size(c) + F.lit(1.0)) + 1.0)
+    both = F.struct(F.array_distinct(tokens(query)).alias("q"), tokens(chunk).alias("c"))
+    return let(both, lambda b: F.size(F.filter(b["c"], lambda t: F.array_contains(b["q"], t))) / (F.log(F.size(b["c"]) + F.lit(1.0)) + 1.0))
 
 
 def approximate_token_count(c: Column) -> Column:

@@ -7,20 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, sentences_keeping_marks, strip, tokens
+from ..functions.text import WS, let, sentences_keeping_marks, strip, tokens
 
 VERSION = "v1"
 
 
 def _as_chunks(texts: Column, strategy: str, token_length: Callable[[Column], Column] | None = None) -> Column:
-    n = F.size(texts)
-    return F.transform(
-        texts,
-        lambda t, i: F.struct(
-            i.cast("int").alias("chunk_ordinal"), n.alias("chunk_total"), t.alias("text"), F.length(t).alias("char_length"), F.lit(strategy).alias("chunk_strategy"), F.lit(VERSION).alias("chunk_strategy_version"),
-            (token_length(t) if token_length else F.lit(None)).cast("int").alias("token_length"),
-        ),
+    one = lambda n, t, i: F.struct(
+        i.cast("int").alias("chunk_ordinal"), n.alias("chunk_total"), t.alias("text"), F.length(t).alias("char_length"), F.lit(strategy).alias("chunk_strategy"), F.lit(VERSION).alias("chunk_strategy_version"),
+        (token_length(t) if token_length else F.lit(None)).cast("int").alias("token_length"),
     )
+    return let(texts, lambda all_: F.transform(all_, lambda t, i: one(F.size(all_), t, i)))
 
 
 def passage_native(text: Column) -> Column:
@@ -45,8 +42,8 @@ def sentence_groups(text: Column, target_chars: int = 600, overlap_sentences: in
             F.when(full, carried_size + F.length(x) + 1).otherwise(acc["size"] + F.length(x) + 1).cast("int").alias("size"),
         )
 
-    groups = F.aggregate(s, start, add, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(F.array_join(a["now"], " ")))).otherwise(a["done"]))
-    return F.when(F.size(s) > 0, groups).otherwise(F.array(text))
+    groups = lambda s: F.aggregate(s, start, add, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(F.array_join(a["now"], " ")))).otherwise(a["done"]))
+    return let(s, lambda s: F.when(F.size(s) > 0, groups(s)).otherwise(F.array(text)))
 
 
 def sentence_aware(text: Column, target_chars: int = 600, overlap_sentences: int = 1) -> Column:
@@ -57,10 +54,11 @@ def fixed_token_overlap(text: Column, target_tokens: int = 128, overlap_tokens:
     """Windows over white space words; a text within the target stays as it is. Stepping goes on while words are left, so the last window may lie inside the one before."""
     if target_tokens <= 0 or overlap_tokens < 0 or overlap_tokens >= target_tokens:
         raise ValueError("need 0 <= overlap_tokens < target_tokens")
-    words = F.filter(F.split(text, f"{WS}+"), lambda t: t != "")
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), n - 1, F.lit(target_tokens - overlap_tokens)), lambda i: F.array_join(F.slice(words, i + 1, target_tokens), " "))
-    return _as_chunks(F.when(n <= target_tokens, F.array(text)).otherwise(windows), "fixed_token_overlap", lambda t: F.size(F.filter(F.split(t, f"{WS}+"), lambda x: x != "")))
+    split = lambda t: F.filter(F.split(t, f"{WS}+"), lambda x: x != "")
+    step = F.lit(target_tokens - overlap_tokens)
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, step), lambda i: F.array_join(F.slice(w, i + 1, target_tokens), " "))
+    texts = let(split(text), lambda w: F.when(F.size(w) <= target_tokens, F.array(text)).otherwise(windows(w)))
+    return _as_chunks(texts, "fixed_token_overlap", lambda t: F.size(split(t)))
 
 
 def char_windows(text: Column, size: int = 400, overlap: int = 60) -> Column:

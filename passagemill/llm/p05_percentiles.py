@@ -56,7 +56,7 @@ def estimate(means: np.ndarray, weights: np.ndarray, low: float, high: float, qs
 def samples(rows: DataFrame) -> DataFrame:
     """metric, language, decision, day, arrival, value of each distinct sample."""
     cut = rows.select("request_id", "language", "decision", F.col("total_backend_ms").alias("total"), F.col("stages_ms")["rerank"].alias("rerank"), "sampled_at", "received_at")
-    ids = cut.filter("request_id is not null").groupBy("request_id").agg(F.min_by(F.struct("language", "decision", "total", "rerank", "sampled_at", "received_at"), F.coalesce("received_at", F.lit("9999-01-01").cast("timestamp_ntz"))).alias("x")).select("x.*")
+    ids = cut.filter("request_id is not null").groupBy("request_id").agg(F.min_by(F.struct("language", "decision", "total", "rerank", "sampled_at", "received_at"), F.struct(F.coalesce("received_at", F.lit("9999-01-01").cast("timestamp_ntz")), F.coalesce("total", F.lit(-1.0)), F.coalesce("rerank", F.lit(-1.0)))).alias("x")).select("x.*")
     one = ids.unionByName(cut.filter("request_id is null").drop("request_id"))
     long = one.select(
         "language", "decision", F.to_date("sampled_at").alias("day"), F.when(F.col("received_at") >= F.col("sampled_at") + F.expr("interval 1 day"), "late").otherwise("on time").alias("arrival"),

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import eval_queries, retrieval_queries, text_queries
+from .pipeline import flagship  # noqa: F401
 
-from ..session import table
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "passage_occurrence").groupBy("config_language").count()
+MODULES = (text_queries, retrieval_queries, eval_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

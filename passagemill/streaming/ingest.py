@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.dedup import first_wins
 
@@ -19,7 +20,7 @@ def committed(spark: SparkSession, out: str, schema) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(out)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p) or not fs.listStatus(p):
-        return spark.createDataFrame([], schema.add("batch", "long") if "batch" not in schema.fieldNames() else schema)
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("batch", LongType())]))
     return spark.read.parquet(out)
 
 

@@ -122,7 +122,7 @@ def frequent_words(rows: DataFrame) -> set[str]:
                     k, body = kind_of(line)
                     if k == TITLE:
                         out += {w.strip(".,:;!?()") for w in body.lower().split()}
-            yield pd.DataFrame({"word": out})
+            yield pd.DataFrame({"word": pd.Series(out, dtype="object")})
 
     words = rows.select("text").mapInPandas(run, "word string").filter("word <> ''").groupBy("word").count()
     return {r.word for r in words.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()}

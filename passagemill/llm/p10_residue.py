@@ -206,7 +206,7 @@ def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
                 c[""] += 1
                 if t:
                     c.update(vocab.intersection(BREAK.sub(" ", t.lower()).split()))
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+        yield pd.DataFrame({"word": pd.Series(list(c), dtype="object"), "n": pd.Series(list(c.values()), dtype="int64")})
 
     rows = docs.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r.word: r.n for r in rows}

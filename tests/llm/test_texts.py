@@ -93,7 +93,7 @@ def test_boilerplate(spark, tmp_path):
         nav = "Home · Search · Careers" if i % 3 == 0 else "- Home\n- Search"
         body = ["Overview"] if i % 2 else []
         body += [f"{r.choice(EN)} The {word()} of the {word()} is a {word()} near {i} {word()}.", f"Depth: {i}.5 m", "• " + f"The {word()} carries {word()} and {i} {word()} to the island."]
-        lines = nav.split("\n") + body + ["", "Advertisement", "Related articles", f"» Uses of the item {i}", f"Last edited by user{i} | Report a problem", "Sign up for our weekly letter and never miss an update!"]
+        lines = nav.split("\n") + body + ["", "Advertisement", f"» Uses of the item {i}", "Related articles", f"Last edited by user{i} | Report a problem", "Sign up for our weekly letter and never miss an update!"]
         if i % 3 == 1:
             lines.insert(len(nav.split("\n")) + len(body) - 1, "Advertisement")
         rows.append({"raw_text": "\n".join(lines), "site": host, "origin": "page"})

@@ -90,8 +90,9 @@ def page_lines(text: str | None, names: list[str], vocabulary: set[str]) -> list
         before = full[j - 1] if j else None
         after = full[j + 1] if j + 1 < len(full) else None
         bullet = BULLET.match(raw[i]) is not None
-        # no other title is next to it without a blank line between
-        alone = not (before is not None and before == i - 1 and kinds[before][0] == TITLE) and not (after is not None and after == i + 1 and kinds[after][0] == TITLE)
+        # no other title without bullet is next to it without a blank line between
+        plain = lambda k: kinds[k][0] == TITLE and BULLET.match(raw[k]) is None
+        alone = not (before is not None and before == i - 1 and plain(before)) and not (after is not None and after == i + 1 and plain(after))
         leads = after is not None and kinds[after][0] in (SENTENCE, FACT)
         out.append((i, k, bullet, generalised(body, k, names, vocabulary), alone, leads))
     return out

@@ -23,16 +23,28 @@ class Embedder(Protocol):
 class HashEmbedder:
     """Signed hashing of words and character trigrams; unit length. A text without words is the zero vector."""
 
+    KEPT = 200_000
+
     def __init__(self, dim: int = 128):
-        self.dim = dim
+        self.dim, self.known = dim, {}
+
+    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a word and its trigrams."""
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            h = [xxhash.xxh64_intdigest(x) for x in (w, *(f"^{w}$"[i : i + 3] for i in range(len(w))))]
+            weight = np.array([2.0] + [0.5] * (len(h) - 1))
+            got = self.known[w] = (np.array([x % self.dim for x in h]), np.where([x >> 63 for x in h], weight, -weight))
+        return got
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, t in zip(out, texts):
-            for w in t.lower().split():
-                for piece, weight in [(w, 2.0), *((f"^{w}$"[i : i + 3], 0.5) for i in range(len(w)))]:
-                    h = xxhash.xxh64_intdigest(piece)
-                    row[h % self.dim] += weight if h >> 63 else -weight
+            parts = [self.word(w) for w in t.lower().split()]
+            if parts:
+                row += np.bincount(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), self.dim).astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -10,7 +10,7 @@ from ..functions.plugins import embed_queries, embedding
 from ..functions.text import normalize_text
 from ..operators import answer as A
 from ..operators.dedup import first_wins
-from ..operators.retrieve import bm25_search, fuse_ranks
+from ..operators.retrieve import bm25_search, dense_search, fuse_ranks
 from ..session import table, written
 
 TOP_K = 20
@@ -30,13 +30,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_within(corpus_: DataFrame, routed: DataFrame, k: int) -> DataFrame:
-    """query_id, shard, key, score, rank of the k nearest passages of each routed shard. Questions are joined by shard and scored in the JVM; the table of questions is the small side."""
-    from pyspark.sql import Window
-
-    dot = F.aggregate(F.zip_with("vector", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    x = corpus_.select("shard", "key", "vector").join(routed.select("query_id", "shard", F.col("vector").alias("qv")), "shard").select("query_id", "shard", "key", F.round(dot, 6).alias("score"))
-    w = Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "key")
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """query_id, shard, key, score, rank of the k nearest passages of each routed shard. Which question goes where is small: a block's routes are as many as its questions times the shards."""
+    probes: dict[str, list[int]] = {}
+    for r in routed.select("query_id", "shard").distinct().toLocalIterator():
+        probes.setdefault(r.shard, []).append(r.query_id)
+    rows = corpus_.select("key", "vector", F.col("shard").alias("cell"))
+    q = routed.select("query_id", "vector").dropDuplicates(["query_id"])
+    return dense_search(rows, q, "key", "vector", k, rows, probes, "query_id", per_cell=True).withColumnRenamed("cell", "shard")
 
 
 def hybrid_search(corpus_: DataFrame, requests: DataFrame, top_k: int = TOP_K) -> DataFrame:
@@ -44,7 +44,7 @@ def hybrid_search(corpus_: DataFrame, requests: DataFrame, top_k: int = TOP_K) -
     candidate_k = max(3 * top_k, 30)
     groups = language_filter(detect_language(F.col("question")), F.lit(None).cast("string"))
     q = embed_queries(requests, "question").withColumn("shard", F.explode(groups))
-    routed = q.select("query_id", "shard", "question", "vector")
+    routed = written(q.select("query_id", "shard", "question", "vector"), "routes")
     lexical = bm25_search(corpus_, requests, "key", "shard", "text", "query_id", "question", candidate_k).join(routed.select("query_id", "shard"), ["query_id", "shard"], "left_semi")
     return fuse_ranks(lexical, dense_within(corpus_, routed, candidate_k), "query_id", top_k)
 

@@ -79,7 +79,7 @@ If nothing appears allow scripts
 পৃষ্ঠাটি পাওয়া যায়নি
 இந்தப் பக்கத்தைக் காண ஜாவாஸ்கிரிப்டை இயக்கவும்
 பக்கம் கிடைக்கவில்லை பிழை 0
-ఈ పేజీ చూడటానికి జావాస్క్రిప్ట్ ప్రారంభించండి
+ఈ పేజీ చూడటానికి జావాస్క్రిప్ట్ను ప్రారంభించండి
 పేజీ కనబడలేదు లోపం 0
 یہ صفحہ دیکھنے کے لیے جاوا اسکرپٹ فعال کریں
 صفحہ نہیں ملا
@@ -126,7 +126,7 @@ Powered by pages release 0
 Last edited by user0 Report a problem""".split("\n")
 #: The spellings of a placeholder.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|[$#]\{[^{}\n]{1,60}\}|\{[A-Za-z_][A-Za-z_.]{0,40}\}|\{\d{1,2}\}|<%[^%\n]{0,60}%>|<<[^<>\n]{1,60}>>|<(?:your|insert|enter)[ _][^<>\n]{1,40}>|@@\w{1,40}@@|\[\[\w[\w ]{0,40}\]\]"
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|[$#]\{[^{}\n]{1,60}\}|\{[A-Za-z_][A-Za-z_.]{0,40}\}|\{\d{1,2}\}|<%[^%\n]{0,60}%>|<<[^<>\n]{1,60}>>|<(?:your|insert|enter)[ _][^<>\n]{1,40}>|@@\w{1,40}@@|\[\[[^\[\]\n]{1,60}\]\]"
     r"|__[A-Z][A-Z0-9_]*?__|%[A-Z][A-Z_]+%|%\([a-z_]+\)[sd]|\[(?:INSERT|TODO|ENTER|YOUR)\b[^\[\]\n]{0,60}\]|\[(?!object\b)[a-z][a-z_ ]{1,30}\]|\b\w+_PLACEHOLDER\b|\bPLACEHOLDER_\w+"
 )
 MARK = re.compile(r"[{%<\[@_]")

@@ -21,7 +21,7 @@ def _table() -> dict[int, None]:
         _TABLE = {
             c: None
             for c in range(sys.maxunicode + 1)
-            if unicodedata.category(chr(c))[0] == "P" or unicodedata.category(chr(c)) in ("Cf", "Cn", "Co", "Cs") and c < 0x3FFFF or chr(c) in INVISIBLE_MARKS
+            if unicodedata.category(chr(c))[0] in "PS" or unicodedata.category(chr(c)) in ("Cf", "Cn", "Co", "Cs") and c < 0x3FFFF or chr(c) in INVISIBLE_MARKS
         }
         for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85":
             _TABLE.pop(ord(c), None)
@@ -29,7 +29,7 @@ def _table() -> dict[int, None]:
 
 
 def words(text: str | None) -> list[str]:
-    """What white space separates, without case, punctuation, invisible characters and Unicode form; null gives none."""
+    """What white space separates, without case, punctuation and symbols (the bars and arrows of quoted lines too), invisible characters and Unicode form; null gives none."""
     if not text:
         return []
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(_table()).lower()).split()

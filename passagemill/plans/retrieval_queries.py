@@ -132,3 +132,37 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
 
 
 add("str01_incremental_ingest", _ingest, "SELECT is_original_english, content_hash, 1 AS n FROM passage_occurrence WHERE content_hash IS NOT NULL GROUP BY 1, 2")
+
+
+def _eval_index(s, d):
+    """The index of an evaluation run: candidates of both languages in character windows, searched by inner product with the questions of both."""
+    from ..operators.chunk import char_windows
+    from .eval_queries import scored
+
+    x = scored(s, d).select("query_id", "lang", "i", F.inline(char_windows(F.col("text")))).select(F.xxhash64("query_id", "lang", "i", "chunk_ordinal").alias("key"), F.col("query_id").alias("owner"), embedding(F.col("text"), prefix="passage: ").alias("vector"))
+    rows = written(x, "eval-index")
+    q = scored(s, d).select((F.col("query_id") * 2 + (F.col("lang") == "hi").cast("int")).alias("q"), F.col("q").alias("text")).distinct().withColumn("vector", embedding(F.col("text"), prefix="query: "))
+    top = R.dense_search(rows, q, "key", "vector", 5, query_key="q")
+    return top.join(rows.select("key", "owner").dropDuplicates(["key"]), "key").select(F.floor(F.col("query_id") / 2).alias("query_id"), "rank", "score", (F.col("owner") == F.floor(F.col("query_id") / 2)).alias("own"))
+
+
+add("ret07_eval_search", _eval_index)
+
+
+def _adapter(s, d):
+    """Guard, extraction and grounding over a question's own candidates; the text is blank unless grounded."""
+    h = _own_hits(s, d).withColumn("key", F.col("i").cast("bigint"))
+    req = pipeline.questions(s, d)
+    out = A.decide(req, h, A.extract_answers(h, "query_id", "question", "text", "rank"), "query_id", "question", "text", "rank")
+    return out.select("query_id", (F.col("decision") == "allow").alias("grounded"), F.coalesce("answer", F.lit("")).alias("text"), "reason_code")
+
+
+add("ans09_eval_adapter", _adapter)
+add("smp03_language_queries", lambda s, d: readers.language_queries(_source_rows(s, d), 20), f"SELECT query_id, kind, CASE WHEN kind = 'native' THEN query_hi ELSE query_en END AS text FROM (SELECT * FROM {EXAMPLES} WHERE query_hi <> '' AND query_en <> '' ORDER BY query_id LIMIT 10), (VALUES ('native'), ('english')) k(kind)")
+
+
+def _source_rows(s, d):
+    return table(s, d, "eval_example").dropDuplicates(["query_id"]).select("query_id", F.col("query_hi").alias("query"), F.col("query_en").alias("Eng_Query"))
+
+
+add("txt29_json_fields", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.size("m").alias("n"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names")), "SELECT event_id, CAST(len(json_keys(props)) AS INT) AS n, array_to_string(list_sort(json_keys(props)), ',') AS names FROM events")

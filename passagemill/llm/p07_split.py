@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table, written
+from .p03_sentences import BoundaryModel, fitted, sentence_ends
 
 LIMIT, OVERLAP, BLOCK = 600, 60, 3
 LEAST = 0.35
@@ -51,13 +52,26 @@ def depths(text: str, ends: list[int]) -> list[float]:
     return out
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(begin with overlap, begin, end) of each piece, in characters."""
+LINE_END = re.compile(r"\n+\s*")
+
+
+def unit_ends(text: str, model: BoundaryModel) -> list[int]:
+    """Ends of sentences and lines, with the white space after them."""
+    out = {m.end() for m in LINE_END.finditer(text)}
+    for e in sentence_ends(text, model):
+        while e < len(text) and text[e].isspace():
+            e += 1
+        out.add(e)
+    return sorted(out)
+
+
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, model: BoundaryModel | None = None) -> list[tuple[int, int, int]]:
+    """(begin with overlap, begin, end) of each piece, in characters. Sentence ends come from the classifier of problem 3; without a model end marks before white space serve."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than the limit")
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    ends = sorted({m.end() for m in SENTENCE.finditer(text)} - {0} | {len(text)})
+    ends = sorted(set([m.end() for m in SENTENCE.finditer(text)] if model is None else unit_ends(text, model)) - {0} | {len(text)})
     depth = dict(zip(ends, depths(text, ends)))
     paragraph = {e for e in ends if "\n" in text[max(0, e - 3) : e].strip(" \t\r")[-2:] or text[:e].rstrip(" \t\r").endswith("\n")} if "\n" in text else set()
     words = [m.end() for m in WORD_END.finditer(text)]
@@ -99,12 +113,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         begin = cut
 
 
-def split_rows(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_rows(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, model: BoundaryModel | None = None) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                cuts = [(0, 0, 0)] if row.text is None else split_text(row.text, limit, overlap)
+                cuts = [(0, 0, 0)] if row.text is None else split_text(row.text, limit, overlap, shared.value)
                 for i, (lead, begin, end) in enumerate(cuts):
                     out.append((row.chunk_id, row.parent_passage_id, row.chunk_strategy, row.chunk_strategy_version, None if pd.isna(row.chunk_ordinal) else int(row.chunk_ordinal), i, len(cuts), lead, begin, end, None if row.text is None else row.text[lead:end]))
             yield pd.DataFrame(out, columns=["chunk_id", "parent_passage_id", "chunk_strategy", "chunk_strategy_version", "old_ordinal", "piece_no", "piece_total", "lead_offset", "begin_offset", "end_offset", "text"]).astype({"old_ordinal": "Int32"})
@@ -118,7 +134,8 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Numbers are sums over narrow rows in two steps (ranges of STEP ordinals, then inside them), so one parent with very many chunks is no single sort.
     """
-    cut = written(split_rows(table(spark, sf_dir, "chunk")), "p7-pieces")
+    model = fitted(table(spark, sf_dir, "passage_occurrence").filter("origin = 'passage'").select("occurrence_id", "config_language", "raw_text"))
+    cut = written(split_rows(table(spark, sf_dir, "chunk"), model=model), "p7-pieces")
     parent = ["parent_passage_id", "chunk_strategy", "chunk_strategy_version"]
     heads = cut.filter("piece_no = 0").select(*parent, "chunk_id", "old_ordinal", "piece_total", F.coalesce(F.floor(F.col("old_ordinal") / STEP), F.lit(-1)).alias("part"))
     parts = heads.groupBy(*parent, "part").agg(F.sum("piece_total").alias("size"))

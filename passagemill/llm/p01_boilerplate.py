@@ -4,12 +4,15 @@ Method: consensus host paths. Stored pages are lines of text without tags, so a
 kind and its path is the generalised line: kind (sentence, fact, row of links, title), bullet, and its words with numbers,
 the host's own name and rare words masked. Each container is scored on its page: sentences and facts are body, rows of links
 are not, a title is a heading if a sentence or fact follows it and no other title is next to it. The scores vote per path,
-within a host and over all hosts, counting each different page once so that copies don't vote: a sentence or row that many
-different pages hold is part of the frame; a title is one that many pages hold where the votes don't call it a heading.
-The pages are then read again with the winning paths.
+within a host and over all hosts, counting each different page once so that copies and chunks don't vote. A sentence is part
+of the frame if OWN of its host's pages hold it, or if it comes back over all hosts: if a page has it, AGAIN of the other
+pages of its host have it too (of hosts with one page and pages without site, AGAIN of all such pages hold it). Both are
+shares, so more hosts or pages don't change them; the counts below are only the least evidence. A title is frame where the
+votes of all, or of its host if OWN of the host's pages hold it, don't call it a heading. The pages are then read again with
+the winning paths.
 
 Rows with null or empty text have no lines. Rows without site vote and are judged over all hosts. A page seen alone is
-judged by its own scores. Chunks take the site of their parent page; a parent that is no page gives no row.
+judged by its own scores. Chunks take the site and the vote of their parent page; a parent that is no page gives no row.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
 
 #: Words of titles that stay unmasked: the most frequent, at most so many (they are broadcast).
 VOCABULARY = 1500
-#: Different pages that must hold a short line or a sentence before it counts as frame.
-FRAME_TITLES, FRAME_SENTENCES, FRAME_LONG = 3, 3, 6
+#: Different pages that must hold a title, a short or a long sentence before the world may call it frame; OWN_PAGES of a host before the host may.
+FRAME_TITLES, FRAME_SENTENCES, FRAME_LONG, OWN_PAGES = 3, 3, 6, 3
+#: Share of a host's pages that makes a path the host's own frame; share of a holder's other pages that makes it frame anywhere (notices: 0.016 and up, sentences that meet by chance: 0).
+OWN, AGAIN = 0.5, 0.005
 #: Share of the pages where a lone title leads a sentence: a heading's, and what no heading has once SURE pages voted. Lone on less than LONE of its pages is a link.
 HEADING, NO_HEADING, SURE, LONE = 0.9, 0.85, 4, 0.08
 SENTENCE, FACT, LINKS, TITLE, BLANK = "s", "f", "l", "t", "b"
@@ -98,18 +103,18 @@ def page_lines(text: str | None, names: list[str], vocabulary: set[str]) -> list
     return out
 
 
-def page_key(text: str) -> str:
+def page_key(text: str) -> Column:
     """The page's longest line, as a hash: copies of a page in other frames have the same."""
-    return xxhash.xxh64_hexdigest(max(text.split("\n"), key=len).strip())
+    return F.xxhash64(F.array_max(F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), F.btrim(x, F.lit(" \t\r")).alias("x"))))["x"])
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_table, row_id, site, text of the pages and of the chunks of pages."""
-    o = table(spark, sf_dir, "passage_occurrence").filter("origin = 'page'")
-    own = o.select(F.lit("passage_occurrence").alias("source_table"), F.col("occurrence_id").alias("row_id"), "site", F.col("raw_text").alias("text"))
-    parents = o.groupBy(F.col("passage_id").alias("parent_passage_id")).agg(F.min("site").alias("site"))
+    """source_table, row_id, site, page_key, text of the pages and of the chunks of pages; a chunk has the key of its parent."""
+    o = table(spark, sf_dir, "passage_occurrence").filter("origin = 'page'").withColumn("page_key", page_key("raw_text"))
+    own = o.select(F.lit("passage_occurrence").alias("source_table"), F.col("occurrence_id").alias("row_id"), "site", "page_key", F.col("raw_text").alias("text"))
+    parents = o.groupBy(F.col("passage_id").alias("parent_passage_id")).agg(F.min("site").alias("site"), F.min(F.when(F.col("raw_text").isNotNull(), F.col("page_key"))).alias("page_key"))
     c = table(spark, sf_dir, "chunk").select("chunk_id", "text", "parent_passage_id").join(parents, "parent_passage_id")
-    return own.unionByName(c.select(F.lit("chunk").alias("source_table"), F.col("chunk_id").alias("row_id"), "site", "text"))
+    return own.unionByName(c.select(F.lit("chunk").alias("source_table"), F.col("chunk_id").alias("row_id"), "site", F.coalesce("page_key", page_key("text")).alias("page_key"), "text"))
 
 
 def frequent_words(rows: DataFrame) -> set[str]:
@@ -138,28 +143,41 @@ def judged(rows: DataFrame) -> DataFrame:
         vocabulary = shared.value
         for b in batches:
             out = []
-            for source, i, site, t in zip(b["source_table"], b["row_id"], b["site"], b["text"]):
+            for source, i, site, key, t in zip(b["source_table"], b["row_id"], b["site"], b["page_key"], b["text"]):
                 if not t:
                     continue
-                key, names = page_key(t), site_names(site)
+                names = site_names(site)
                 for no, kind, bullet, path, alone, leads in page_lines(t, names, vocabulary):
                     out.append((source, i, site, key, no, kind, bullet, xxhash.xxh3_64_intdigest(kind + path) - (1 << 63), "*" in path, len(path.split()), alone, leads))
             yield pd.DataFrame(out, columns=["source_table", "row_id", "site", "page_key", "line_no", "kind", "bullet", "path", "masked", "n_words", "alone", "leads"])
 
-    schema = "source_table string, row_id bigint, site string, page_key string, line_no int, kind string, bullet boolean, path bigint, masked boolean, n_words int, alone boolean, leads boolean"
+    schema = "source_table string, row_id bigint, site string, page_key bigint, line_no int, kind string, bullet boolean, path bigint, masked boolean, n_words int, alone boolean, leads boolean"
     all_lines = written(rows.mapInPandas(lines, schema), "p1-lines")
     # one vote of a path for each different page
     votes = all_lines.groupBy("path", "page_key").agg(F.min("site").alias("site"), F.max((F.col("alone") & ~F.col("bullet")).cast("int")).alias("alone"), F.max((F.col("alone") & ~F.col("bullet") & F.col("leads")).cast("int")).alias("heads"))
-    hosts = votes.groupBy("path", "site").agg(F.count("*").alias("n"), F.sum("alone").alias("alone"), F.sum("heads").alias("heads"))
-    world = hosts.groupBy("path").agg(F.sum("n").alias("pages"), F.max("n").alias("host_pages"), F.sum("alone").alias("alone_pages"), F.sum("heads").alias("head_pages")).filter("pages >= 2")
-    seen = all_lines.select("source_table", "row_id", "line_no", "kind", "bullet", "masked", "n_words", "path").join(world, "path", "left").fillna(0, ["pages", "host_pages", "alone_pages", "head_pages"])
-    share = F.col("head_pages") / F.greatest(F.col("alone_pages"), F.lit(1))
+    # pages of each host; a page alone on its host, or without site, is compared with all such pages
+    sizes = all_lines.filter("site is not null").groupBy("site").agg(F.countDistinct("page_key").alias("host_size")).filter("host_size > 1")
+    hosts = votes.groupBy("path", "site").agg(F.count("*").alias("n"), F.sum("alone").alias("alone"), F.sum("heads").alias("heads")).join(sizes, "site", "left")
+    singles = all_lines.select("site", "page_key").distinct().join(sizes, "site", "left_anti").agg(F.countDistinct("page_key").alias("singles"))
+    single = F.col("host_size").isNull()
+    world = hosts.groupBy("path").agg(
+        F.sum("n").alias("pages"), F.sum("alone").alias("alone_pages"), F.sum("heads").alias("head_pages"),
+        F.sum(F.when(~single, F.col("n") - 1)).alias("again"), F.sum(F.when(~single, F.col("host_size") - 1)).alias("others"), F.sum(F.when(single, F.col("n"))).alias("single_pages"),
+    ).filter("pages >= 2")
+    world = world.crossJoin(F.broadcast(singles))  # one row
+    own = hosts.filter((F.col("n") >= OWN_PAGES) & (F.col("n") >= F.col("host_size") * OWN)).select("path", "site", F.col("n").alias("own_pages"), F.col("alone").alias("own_alone"), F.col("heads").alias("own_heads"))
+    counts = ["pages", "alone_pages", "head_pages", "again", "others", "single_pages", "singles", "own_pages", "own_alone", "own_heads"]
+    seen = all_lines.select("source_table", "row_id", "site", "line_no", "kind", "bullet", "masked", "n_words", "path").join(world, "path", "left").join(own, ["path", "site"], "left").fillna(0, counts)
+    template = F.col("own_pages") > 0
+    common = (F.col("again") > 0) & (F.col("again") >= F.col("others") * AGAIN) | (F.col("single_pages") >= F.greatest(F.lit(FRAME_SENTENCES), F.col("singles") * AGAIN))
+    share = lambda alone, heads: F.col(heads) / F.greatest(alone, F.lit(1))
+    no_heading = lambda held, alone, heads: (F.col(held) >= FRAME_TITLES) & ~((F.col(alone) >= F.greatest(F.lit(1.0), F.col(held) * LONE)) & (share(alone, heads) >= HEADING))
     frame = (
         F.when(F.col("kind") == LINKS, True)
         .when(F.col("kind") == FACT, False)
-        .when(F.col("kind") == SENTENCE, F.col("pages") >= F.when(F.col("n_words") >= 9, FRAME_LONG).otherwise(FRAME_SENTENCES))
-        .when(F.col("masked"), (F.col("alone_pages") >= SURE) & (share < NO_HEADING))
-        .otherwise((F.col("pages") >= FRAME_TITLES) & ~((F.col("alone_pages") >= F.greatest(F.lit(1.0), F.col("pages") * LONE)) & (share >= HEADING)))
+        .when(F.col("kind") == SENTENCE, template | common & (F.col("pages") >= F.when(F.col("n_words") >= 9, FRAME_LONG).otherwise(FRAME_SENTENCES)))
+        .when(F.col("masked"), (F.col("alone_pages") >= SURE) & (share("alone_pages", "head_pages") < NO_HEADING))
+        .otherwise(no_heading("pages", "alone_pages", "head_pages") | no_heading("own_pages", "own_alone", "own_heads"))
     )
     flagged = seen.select("source_table", "row_id", F.struct("line_no", "kind", "bullet", frame.alias("frame")).alias("x")).groupBy("source_table", "row_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
 

@@ -108,6 +108,25 @@ def test_boilerplate(spark, tmp_path):
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def _host_pages(r, n, lines, site):
+    """n pages of a host: a sentence of the page's own, then what lines(i) gives."""
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    return [{"raw_text": "\n".join([" ".join(word() for _ in range(12)) + ".", *lines(i)]), "site": site, "origin": "page"} for i in range(n)]
+
+
+def test_boilerplate_by_share_of_host(spark, tmp_path):
+    """A sentence that one page of each of many hosts holds is body, a small host's own notice is frame, and chunks of a page don't vote beside it."""
+    r = random.Random(11)
+    founded, notice, chunked = "It was founded in 1850.", "This text may be copied for the use of the parish and for nothing else.", "The bridge was built twice."
+    rows = [x for k in range(8) for x in _host_pages(r, 30, lambda i: [founded] if i == 0 else [], f"h{k}-mill.example")]
+    rows += _host_pages(r, 4, lambda i: [notice], "s-gate.example")
+    rows += _host_pages(r, 3, lambda i: [chunked] if i == 0 else [], "c-barn.example")
+    chunks = [dict(chunk_id=k, parent_passage_id=f"p{len(rows) - 2}", text=f"{rows[-3]['raw_text'][5 * k:]}") for k in range(1, 4)]
+    d = write(tmp_path, passage_occurrence=passages(rows), chunk=[c for c in chunks])
+    got = {tuple(x) for x in p1.found(spark, d).collect()}
+    assert got == {("passage_occurrence", i + 1, 1) for i, x in enumerate(rows) if x["site"] == "s-gate.example"}
+
+
 @pytest.mark.parametrize(
     "text,case",
     [

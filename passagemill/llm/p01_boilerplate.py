@@ -2,7 +2,7 @@
 
 Method: consensus host paths. Stored pages are lines of text without tags, so a line's container is the run of lines of its
 kind and its path is the generalised line: kind (sentence, fact, row of links, title), bullet, and its words with numbers,
-the host's own name and rare words masked. Each container is scored on its page: sentences and facts are body, rows of links
+the host's own name and, in titles that fewer than FRAME_TITLES pages hold, rare words masked. Each container is scored on its page: sentences and facts are body, rows of links
 are not, a title is a heading if a sentence or fact follows it and no other title is next to it. The scores vote per path,
 within a host and over all hosts, counting each different page once so that copies and chunks don't vote. A sentence is part
 of the frame if OWN of its host's pages hold it, or if it comes back over all hosts: if a page has it, AGAIN of the other
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import table, written
 
-#: Words of titles that stay unmasked: the most frequent, at most so many (they are broadcast).
-VOCABULARY = 1500
+#: Words of titles stay unmasked if FRAME_TITLES pages and this share of the pages have them: at most a page's mean number of title words / share (they are broadcast).
+WORD_SHARE = 0.002
 #: Different pages that must hold a title, a short or a long sentence before the world may call it frame; OWN_PAGES of a host before the host may.
 FRAME_TITLES, FRAME_SENTENCES, FRAME_LONG, OWN_PAGES = 3, 3, 6, 3
 #: Share of a host's pages that makes a path the host's own frame; share of a holder's other pages that makes it frame anywhere (notices: 0.016 and up, sentences that meet by chance: 0).
@@ -40,6 +40,7 @@ BULLET = re.compile(r"^\s*(?:[-•»›*·–—▪◦‣]\s+|\(?\d{1,2}[.)]\s+)
 FACT_LINE = re.compile(r"^[^:\d.!?]{2,40}:\s*[^\s\d]{0,3}\d[\d.,]*\s*\S{0,12}$")
 ROW = re.compile(r"\S\s+[|/·›»•]\s+\S|\S {2,}\S|^\s*[›»]\s.*/")
 END = ".!?।॥۔؟…"
+PUNCTUATION = ".,:;!?()"
 CLOSERS = "\"'”’»)] \t\r​‌‍﻿"
 
 
@@ -73,17 +74,24 @@ def site_names(site: str | None) -> list[str]:
     return [name.lower(), name.replace("-", " ").lower()]
 
 
-def generalised(text: str, kind: str, names: list[str], vocabulary: set[str]) -> str:
+def generalised(text: str, names: list[str]) -> str:
+    """The text with numbers and the host's own name masked."""
     x = re.sub(r"\d+", "0", text.lower())
     for n in names:
         x = x.replace(n, "@")
-    if kind != TITLE:
-        return " ".join(x.split())
-    return " ".join(w if w.strip(".,:;!?()") in vocabulary or "@" in w or not any(c.isalpha() for c in w) else "*" for w in x.split())
+    return " ".join(x.split())
 
 
-def page_lines(text: str | None, names: list[str], vocabulary: set[str]) -> list[tuple]:
-    """(line_no, kind, bulleted, path, alone, before body) of the lines that are not blank, and the key of the page."""
+def is_rare(word: str, vocabulary: set[str]) -> bool:
+    return word.strip(PUNCTUATION) not in vocabulary and "@" not in word and any(c.isalpha() for c in word)
+
+
+def masked_words(path: str, vocabulary: set[str]) -> str:
+    return " ".join("*" if is_rare(w, vocabulary) else w for w in path.split())
+
+
+def page_lines(text: str | None, names: list[str]) -> list[tuple]:
+    """(line_no, kind, bulleted, path without masked words, alone, before body) of the lines that are not blank."""
     if not text:
         return []
     raw = text.split("\n")
@@ -99,10 +107,14 @@ def page_lines(text: str | None, names: list[str], vocabulary: set[str]) -> list
         plain = lambda k: kinds[k][0] == TITLE and BULLET.match(raw[k]) is None
         alone = not (before is not None and before == i - 1 and plain(before)) and not (after is not None and after == i + 1 and plain(after))
         leads = after is not None and kinds[after][0] in (SENTENCE, FACT)
-        out.append((i, k, bullet, generalised(body, k, names, vocabulary), alone, leads))
+        out.append((i, k, bullet, generalised(body, names), alone, leads))
     return out
 
 
+def number(path: str) -> int:
+    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
+
+
 def page_key(text: str) -> Column:
     """The page's longest line, as a hash: copies of a page in other frames have the same."""
     return F.xxhash64(F.array_max(F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), F.btrim(x, F.lit(" \t\r")).alias("x"))))["x"])
@@ -118,26 +130,28 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequent_words(rows: DataFrame) -> set[str]:
-    """The words that most titles have, counted over all pages."""
+    """The words of titles, numbers and names masked, that enough different pages have; chunks and copies of a page count with it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t in b["text"]:
-                for line in set((t or "").split("\n")):
-                    k, body = kind_of(line)
+            for site, key, t in zip(b["site"], b["page_key"], b["text"]):
+                names, words = site_names(site), set()
+                for k, body in {kind_of(x) for x in (t or "").split("\n")}:
                     if k == TITLE:
-                        out += {w.strip(".,:;!?()") for w in body.lower().split()}
-            yield pd.DataFrame({"word": pd.Series(out, dtype="object")})
+                        words |= {w.strip(PUNCTUATION) for w in generalised(body, names).split()}
+                out += [(key, w) for w in words]
+            yield pd.DataFrame(out, columns=["page_key", "word"])
 
-    words = rows.select("text").mapInPandas(run, "word string").filter("word <> ''").groupBy("word").count()
-    return {r.word for r in words.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()}
+    pages_of = rows.select("site", "page_key", "text").mapInPandas(run, "page_key bigint, word string").filter("word <> ''").distinct().groupBy("word").count()
+    least = max(FRAME_TITLES, WORD_SHARE * rows.select("page_key").distinct().count())
+    return {r.word for r in pages_of.filter(F.col("count") >= least).select("word").collect()}
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """source_table, row_id, line_no, kind, is_body of every line that is not blank."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_words(rows))  # at most VOCABULARY words
+    shared = spark.sparkContext.broadcast(frequent_words(rows))  # bounded by WORD_SHARE
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = shared.value
@@ -147,12 +161,16 @@ def judged(rows: DataFrame) -> DataFrame:
                 if not t:
                     continue
                 names = site_names(site)
-                for no, kind, bullet, path, alone, leads in page_lines(t, names, vocabulary):
-                    out.append((source, i, site, key, no, kind, bullet, xxhash.xxh3_64_intdigest(kind + path) - (1 << 63), "*" in path, len(path.split()), alone, leads))
-            yield pd.DataFrame(out, columns=["source_table", "row_id", "site", "page_key", "line_no", "kind", "bullet", "path", "masked", "n_words", "alone", "leads"])
+                for no, kind, bullet, full, alone, leads in page_lines(t, names):
+                    path = masked_words(full, vocabulary) if kind == TITLE else full
+                    out.append((source, i, site, key, no, kind, bullet, number(kind + path), number(kind + full), path != full, len(path.split()), alone, leads))
+            yield pd.DataFrame(out, columns=["source_table", "row_id", "site", "page_key", "line_no", "kind", "bullet", "path", "full_path", "masked", "n_words", "alone", "leads"])
 
-    schema = "source_table string, row_id bigint, site string, page_key bigint, line_no int, kind string, bullet boolean, path bigint, masked boolean, n_words int, alone boolean, leads boolean"
+    schema = "source_table string, row_id bigint, site string, page_key bigint, line_no int, kind string, bullet boolean, path bigint, full_path bigint, masked boolean, n_words int, alone boolean, leads boolean"
     all_lines = written(rows.mapInPandas(lines, schema), "p1-lines")
+    # a title that enough pages repeat keeps its own path, however rare its words
+    repeated = all_lines.filter("masked").groupBy("full_path").agg(F.countDistinct("page_key").alias("n")).filter(F.col("n") >= FRAME_TITLES).select("full_path", F.lit(True).alias("repeated"))
+    all_lines = all_lines.join(repeated, "full_path", "left").withColumns({"path": F.when(F.col("repeated") & F.col("masked"), F.col("full_path")).otherwise(F.col("path")), "masked": F.col("masked") & F.col("repeated").isNull()})
     # one vote of a path for each different page
     votes = all_lines.groupBy("path", "page_key").agg(F.min("site").alias("site"), F.max((F.col("alone") & ~F.col("bullet")).cast("int")).alias("alone"), F.max((F.col("alone") & ~F.col("bullet") & F.col("leads")).cast("int")).alias("heads"))
     # pages of each host; a page alone on its host, or without site, is compared with all such pages

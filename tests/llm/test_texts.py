@@ -127,6 +127,17 @@ def test_boilerplate_by_share_of_host(spark, tmp_path):
     assert got == {("passage_occurrence", i + 1, 1) for i, x in enumerate(rows) if x["site"] == "s-gate.example"}
 
 
+def test_boilerplate_of_rare_words(spark, tmp_path):
+    """A menu word on three pages is frame, whatever number of words is more frequent."""
+    r = random.Random(12)
+    menu = "\n".join(f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(1600))
+    own = [x["raw_text"] for x in _host_pages(r, 8, lambda i: [], None)]
+    rows = [{"raw_text": f"Home\n{'velu karam' if i < 3 else menu}\n{x}", "site": "a-mill.example", "origin": "page"} for i, x in enumerate(own)]
+    d = write(tmp_path, passage_occurrence=passages(rows))
+    got = {(i, n) for _, i, n in p1.found(spark, d).collect()}
+    assert {x for x in got if x[0] <= 3} == {(i, n) for i in (1, 2, 3) for n in (0, 1)}
+
+
 @pytest.mark.parametrize(
     "text,case",
     [

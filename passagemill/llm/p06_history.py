@@ -4,8 +4,9 @@ Method: incremental record linkage. The accepted passages persist as a table of
 by their earliest row) with their blocking keys, the anchors of near.py. A batch probes that table: only the blocks that a
 key of the batch names are read. Candidate pairs get a score from agreement fields with learned weights (logistic
 regression on a bounded sample of at most SAMPLE_TEXTS texts and edited copies of them); what scores as a possible match is
-verified by edit distance over words, earliest candidate first. Matches become parent links, and pointer jumping resolves
-the links of the affected clusters to representatives (union-find with path compression as joins).
+verified by edit distance over words, earliest candidate first. Clusters are the connected components of all near-equal
+pairs, those within a batch too: each block joins its own pairs by union-find and gives the links that joined, and smallest
+labels with pointer jumping resolve the links of all blocks to representatives (union-find with path compression as joins).
 
 Null and wordless texts repeat nothing by text; their hash may still be known. A null first_passage_id in seen_hashes names
 no passage and is passed over. A seen hash whose passage_id a table holds adds nothing to the text comparison.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,15 +170,58 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).filter("first_passage_id is not null").select("occurrence_id", "first_passage_id").distinct()
 
 
+def joined_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """class, partner: verified near-equal pairs that connect what all near-equal pairs of the block connect. A pair whose classes are connected already needs no check."""
+    left, right = pdf[pdf.side == "l"], pdf[pdf.side == "r"]
+    by = defaultdict(list)
+    for i, anchors in enumerate(right["anchors"]):
+        for g in anchors:
+            by[g].append(i)
+    classes = right["class"].tolist()
+    ids = [np.frombuffer(x, dtype=np.uint32) for x in right["tokens"]]
+    bags = [Counter(x.tolist()) for x in ids]
+    top: dict[bytes, bytes] = {}
+
+    def find(c: bytes) -> bytes:
+        while (up := top.get(c, c)) != c:
+            top[c] = top.get(up, up)
+            c = up
+        return c
+
+    rows = []
+    for c, anchors, tokens in left[["class", "anchors", "tokens"]].itertuples(index=False):
+        a = np.frombuffer(tokens, dtype=np.uint32)
+        bag = Counter(a.tolist())
+        for i in {i for g in anchors for i in by.get(g, ())}:
+            b, n = ids[i], max(len(a), len(ids[i]))
+            most = n // ONE_IN
+            # each pair meets both ways round; words that only one side has are edits
+            if classes[i] <= c or abs(len(a) - len(b)) > most or n - (bag & bags[i]).total() > most:
+                continue
+            x, y = find(c), find(classes[i])
+            if x != y and edit_distance_within(a, b, most) <= most:
+                top[y] = x
+                rows.append((c, classes[i]))
+    return pd.DataFrame(rows, columns=["class", "partner"]) if rows else pd.DataFrame({"class": [], "partner": []})
+
+
+def components(classes: DataFrame) -> DataFrame:
+    """class, top (the earliest class of its cluster) of the classes that nearly equal another."""
+    cells, _ = blocks(classes, F.lit(True), F.lit(True), [], "p6-all")
+    pairs = written(cells.groupBy("block").applyInPandas(joined_in_block, "class binary, partner binary").distinct(), "p6-pairs")
+    edges = pairs.unionByName(pairs.select(F.col("partner").alias("class"), F.col("class").alias("partner")))
+    label = edges.select("class").distinct().join(classes, "class").select("class", F.struct("first_batch", "first_occurrence", "class").alias("top"))
+    while True:  # each label becomes the least of its neighbours' and then that of the class it names
+        near = edges.join(label.select(F.col("class").alias("partner"), F.col("top").alias("seen")), "partner").groupBy("class").agg(F.min("seen").alias("seen"))
+        hooked = written(label.join(near, "class").select("class", F.least("top", "seen").alias("top"), (F.col("seen") < F.col("top")).alias("changed")), "p6-labels")
+        if hooked.filter("changed").isEmpty():
+            return hooked.select("class", F.col("top.class").alias("top"))
+        label = written(hooked.select("class", F.col("top.class").alias("mid")).join(hooked.select(F.col("class").alias("mid"), "top"), "mid").select("class", "top"), "p6-labels")
+
+
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """occurrence_id, representative (passage_id of the earliest row of its cluster): the links resolved by pointer jumping."""
+    """occurrence_id, representative (passage_id of the earliest row of its cluster): connected components of all near-equal pairs."""
     rows, classes = accepted(spark, sf_dir)
-    parent = written(classes.select("class").join(links(classes).select("class", "partner"), "class", "left").select("class", F.coalesce("partner", "class").alias("parent")), "p6-parents")
-    for _ in range(60):  # the depth halves each time
-        up = parent.filter("class <> parent").select("class", F.col("parent").alias("mid"))
-        jump = up.join(parent.select(F.col("class").alias("mid"), F.col("parent").alias("top")), "mid")
-        if jump.filter("mid <> top").isEmpty():
-            break
-        parent = written(parent.join(jump.select("class", "top"), "class", "left").select("class", F.coalesce("top", "parent").alias("parent")), "p6-parents")
+    parent = classes.select("class").join(components(classes), "class", "left").select("class", F.coalesce("top", "class").alias("parent"))
     top = parent.join(classes.select(F.col("class").alias("parent"), F.col("first_passage").alias("representative")), "parent")
     return rows.join(top, "class").select("occurrence_id", "representative")

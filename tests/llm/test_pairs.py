@@ -112,6 +112,25 @@ def test_history(spark, tmp_path):
     assert len(top) == len(rows) and set(top.values()) <= {x["passage_id"] for x in rows}
 
 
+def test_representatives_are_components(spark, tmp_path):
+    """Near-equal texts of one batch, of batch 0 alone, and those that only a third text connects have one representative."""
+    r, texts = corpus(9, 60)
+    base = [f"v{i}" for i in range(30)]
+    texts += [" ".join(base[:k] + ["other"] * 4 + base[k + 4 :]) for k in (0, 20)] + [" ".join(base)]
+    rows = passages([{"raw_text": t, "batch_no": 0 if i >= len(texts) - 3 else r.randrange(3)} for i, t in enumerate(texts)])
+    rows[-1]["batch_no"] = 1
+    of = list(range(len(rows)))
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            if near_equal(x["raw_text"], y["raw_text"]):
+                a, b = of[i], of[j]
+                of = [b if k == a else k for k in of]
+    want = {x["occurrence_id"]: min((y["batch_no"], y["occurrence_id"], y["passage_id"]) for y, k in zip(rows, of) if k == of[i])[2] for i, x in enumerate(rows)}
+    assert want[len(rows)] == want[len(rows) - 1] == want[len(rows) - 2] == f"p{len(rows) - 2}"
+    d = write(tmp_path, passage_occurrence=rows)
+    assert {a: b for a, b in p06_history.representatives(spark, d).collect()} == want
+
+
 def test_hot_copies_meet_in_blocks(spark, tmp_path, monkeypatch):
     """A third of all rows are edited copies of one text; blocks stay small and no link is lost."""
     monkeypatch.setattr(near, "BLOCK_ROWS", 16)

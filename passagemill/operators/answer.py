@@ -46,10 +46,15 @@ def extract_answers(hits: DataFrame, query: str, question: str, passage: str, ra
     s = s.withColumn("_v", scorer(F.col("_q"), F.col("_t")))
     best = s.groupBy(query).agg(F.min_by(F.struct("_t", "_i"), F.struct(-F.col("_v"), F.col("_i"))).alias("_best"))
     x = parts.join(best, query, "left").withColumn("_a", F.coalesce("_best._t", "_p"))
-    at = F.array_position("_all", F.col("_a"))
-    following = F.get("_all", at.cast("int"))
-    long = F.when((F.length("_a") < th.short_answer) & (F.size("_all") > 1) & (at > 0) & following.isNotNull(), F.concat("_a", F.lit(". "), following)).otherwise(F.col("_a"))
-    return x.select(query, F.when(long.endswith("."), long).otherwise(F.concat(long, F.lit("."))).alias("answer"), F.col("_s").alias("score"))
+    return x.select(query, finalized(F.col("_a"), F.col("_all"), th).alias("answer"), F.col("_s").alias("score"))
+
+
+def finalized(answer: Column, sentences: Column, th: Thresholds = Thresholds()) -> Column:
+    """The answer with a full stop at its end; a short one takes the sentence after its first place among sentences along. Null gives null."""
+    at = F.array_position(sentences, answer)
+    following = F.get(sentences, at.cast("int"))
+    long = F.when((F.length(answer) < th.short_answer) & (F.size(sentences) > 1) & (at > 0) & following.isNotNull(), F.concat(answer, F.lit(". "), following)).otherwise(answer)
+    return F.when(long.endswith("."), long).otherwise(F.concat(long, F.lit(".")))
 
 
 def decide(requests: DataFrame, hits: DataFrame, answers: DataFrame, query: str, question: str, passage: str, rank: str, index_ready: bool = True, th: Thresholds = Thresholds()) -> DataFrame:

@@ -1,13 +1,13 @@
-"""Near-equal texts: anchors, exact-copy classes, and the blocks in which pairs are looked for.
+"""Near-equal texts: classes of exact copies, and the seeds by which partners meet without a loss.
 
 Two texts are nearly equal if at most one word in six (of the longer) is added, dropped or changed. A text of n words then
-shares with its partner a run of at least three words if n is small and of five if it is large, so runs of words serve as
-anchors: every three-word run up to SHORT words, and beyond LONG five-word runs whose hash is below RUNS / n, the same
-choice in both texts. Copies are one class. Partners share at least the part OVERLAP of a text's anchors: one edit in six
-words at random places leaves 40 % of the five-word runs, so that fewer than 2 of 20 are left happens to 3 in 1,000 pairs
-at the very limit and to none with half as many edits. By the prefix principle a class then needs to keep only the rarest
-of its anchors that both sides hold, and phrases that everybody uses meet nobody. What stays is laid into blocks of bounded size; an anchor that very many texts share is cut
-into sub-blocks, every block of one side against every block of the other.
+has at most n // 5 edits to any partner, so of n // 5 + 1 stretches that it is cut into, one stands in the partner word for
+word and is moved by no more places than there are edits. The first words of each stretch (four, fewer in texts under twenty
+words) are its seeds; a partner finds it by looking all its own runs of that length up. Nothing is sampled or left out, so
+edits may be spread as they like. Hits whose lengths or places differ by more than the limit go, and so do those whose
+signatures show it: a signature holds the parity of the word counts in 128 cells, and an edit changes two cells at most.
+
+A text of fewer than five words is nearly equal to its copies only.
 """
 
 from __future__ import annotations
@@ -20,69 +20,93 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
 from .words import gram_hashes, word_ids
 
-SHORT, LONG, RUNS, OVERLAP = 28, 20, 20, 0.1
-BLOCK_ROWS = 2000
 ONE_IN = 6
+CELLS = 128
+
+
+def most_edits(n: int, m: int | None = None) -> int:
+    """Edits that texts of n and m words may have; without m, of n words and any partner."""
+    return n // (ONE_IN - 1) if m is None else max(n, m) // ONE_IN
+
+
+def seed_length(n: int) -> int:
+    return n // (n // (ONE_IN - 1) + 1)
+
 
+def seeds_of(ids: np.ndarray) -> np.ndarray:
+    """The seeds of a text in order, as signed 64-bit numbers; seed i of m begins at word i * n // m."""
+    n = len(ids)
+    if n < ONE_IN - 1:
+        return np.zeros(0, np.int64)
+    m = most_edits(n) + 1
+    return gram_hashes(ids, seed_length(n))[np.arange(m) * n // m].view(np.int64)
 
-def anchors_of(ids: np.ndarray) -> np.ndarray:
-    """The anchors of a text, as signed 64-bit numbers."""
-    n, parts = len(ids), []
-    if n <= SHORT:
-        parts.append(gram_hashes(ids, 3) if n >= 3 else gram_hashes(ids, n) if n else np.zeros(0, np.uint64))
-    if n >= LONG:
-        g = gram_hashes(ids, 5)
-        rate = min(1.0, RUNS / len(g))
-        parts.append(g[((g * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) < np.uint64(int(rate * (1 << 24)) + 1)])
-    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
+
+def probes_of(ids: np.ndarray) -> list[np.ndarray]:
+    """All runs of the lengths that the seeds of possible partners have, one array for each length; a run's place is its index."""
+    n = len(ids)
+    partners = range(max(ONE_IN - 1, n - n // ONE_IN), n + most_edits(n) + 1) if n < 30 else (n,)  # beyond, all have one length
+    return [gram_hashes(ids, q).view(np.int64) for q in sorted({seed_length(m) for m in partners})]
+
+
+def signature_of(ids: np.ndarray) -> np.ndarray:
+    """Parity of the number of words in each of CELLS cells, as two signed 64-bit numbers."""
+    cell = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=CELLS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def with_classes(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the column text by class (128-bit hash of the word sequence), tokens (its words as 32-bit hashes) and anchors. Rows without any word go: they are equal to nothing."""
+    """Replace the column text by class (128-bit hash of the word sequence), id (its first 64 bits, for narrow rows), n (words), sig0, sig1 and tokens (words as 32-bit hashes). A text without any word has a null class."""
     rest = [f for f in df.schema.fields if f.name != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = [word_ids(t) for t in b[text]]
-            b = b.drop(columns=[text])
-            b["class"] = [xxhash.xxh3_128_digest(x.tobytes()) for x in ids]
-            b["tokens"] = [x.tobytes() for x in ids]
-            b["anchors"] = [anchors_of(x) for x in ids]
-            yield b[np.array([len(x) > 0 for x in ids], dtype=bool)] if len(b) else b
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["class binary", "tokens binary", "anchors array<bigint>"])
+            some = [len(x) > 0 for x in ids]
+            digest = [xxhash.xxh3_128_digest(x.tobytes()) if s else None for x, s in zip(ids, some)]
+            sig = [signature_of(x) for x in ids]
+            yield b.drop(columns=[text]).assign(
+                **{"class": pd.Series(digest, dtype="object", index=b.index)},
+                id=pd.Series([int.from_bytes(d[:8], "little", signed=True) if d else 0 for d in digest], dtype="int64", index=b.index),
+                n=pd.Series([len(x) for x in ids], dtype="int32", index=b.index),
+                sig0=pd.Series([s[0] for s in sig], dtype="int64", index=b.index),
+                sig1=pd.Series([s[1] for s in sig], dtype="int64", index=b.index),
+                tokens=pd.Series([x.tobytes() if s else None for x, s in zip(ids, some)], dtype="object", index=b.index),
+            )
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["class binary", "id bigint", "n int", "sig0 bigint", "sig1 bigint", "tokens binary"])
     return df.mapInPandas(run, schema)
 
 
-def blocks(classes: DataFrame, left: Column, right: Column, keep: list[str], name: str) -> tuple[DataFrame, int]:
-    """Rows (block, side, class, anchors, tokens, *keep): what must meet. classes: class, tokens, anchors, keep; left and right say on which side a class is (both is possible)."""
-    a = classes.select("class", left.alias("is_l"), right.alias("is_r"), F.size("anchors").alias("size"), F.explode("anchors").alias("anchor"))
-    df = a.groupBy("anchor").agg(F.count_if("is_l").alias("df_l"), F.count_if("is_r").alias("df_r"), F.count("*").alias("df")).filter("df_l > 0 and df_r > 0 and df > 1")
-    held = a.join(df, "anchor")
-    kept = (
-        held.groupBy("class", "is_l", "is_r", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "anchor", "df_l", "df_r"))).alias("x"))
-        .select("class", "is_l", "is_r", F.explode(F.expr(f"slice(x, 1, greatest(0, size(x) - greatest(1, int(floor(size * {OVERLAP}))) + 1))")).alias("x"))
-        .select("class", "is_l", "is_r", "x.*")
-    )
-    kept = written(kept, name + "-anchors")
-    rows = kept.count()
-    shards = max(1, rows // (2 * BLOCK_ROWS) + 1)
-    cuts = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
-    hot = (F.col("df_l") > BLOCK_ROWS) | (F.col("df_r") > BLOCK_ROWS)
-    base = F.when(hot, F.concat_ws("/", F.col("anchor"))).otherwise(F.concat(F.lit("s"), F.pmod(F.col("anchor"), F.lit(shards))))
-    own = lambda c: F.pmod(F.xxhash64("class"), cuts(c))
-    all_of = lambda c: F.sequence(F.lit(0), cuts(c) - 1)
-
-    def side(flag: str, mine: str, other: str, name: str) -> DataFrame:
-        spread = F.when(hot, all_of(other)).otherwise(F.array(F.lit(0)))
-        x = kept.filter(flag).select("class", "anchor", base.alias("base"), F.when(hot, own(mine)).otherwise(F.lit(0)).alias("own"), F.explode(spread).alias("other"))
-        cell = F.concat_ws("/", "base", *(("own", "other") if name == "l" else ("other", "own")))
-        return x.select("class", "anchor", cell.alias("block"), F.lit(name).alias("side"))
-
-    cells = side("is_l", "df_l", "df_r", "l").unionByName(side("is_r", "df_r", "df_l", "r"))
-    cells = cells.groupBy("block", "side", "class").agg(F.collect_set("anchor").alias("anchors"))
-    return cells.join(classes.select("class", "tokens", *keep), "class"), rows
+def seed_rows(classes: DataFrame, *keep: str) -> DataFrame:
+    """key, pos and the kept columns: a row for each seed of each class (n, tokens, keep)."""
+    schema = ", ".join([f"`{c}` {classes.schema[c].dataType.simpleString()}" for c in keep] + ["n int", "seeds array<bigint>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(seeds=[seeds_of(np.frombuffer(t, dtype=np.uint32)) for t in b["tokens"]])[[*keep, "n", "seeds"]]
+
+    x = classes.select(*keep, "n", "tokens").mapInPandas(run, schema).select(*keep, "n", F.size("seeds").alias("_m"), F.posexplode("seeds").alias("_i", "key"))
+    return x.select("key", F.expr("cast(_i * n div _m as int)").alias("pos"), "n", *keep)
+
+
+def probe_rows(classes: DataFrame, *keep: str) -> DataFrame:
+    """key, pos and the kept columns: a row for each run that a partner of the class (n, tokens, keep) might have as a seed."""
+    schema = ", ".join([f"`{c}` {classes.schema[c].dataType.simpleString()}" for c in keep] + ["n int", "probes array<array<bigint>>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(probes=[probes_of(np.frombuffer(t, dtype=np.uint32)) for t in b["tokens"]])[[*keep, "n", "probes"]]
+
+    x = classes.select(*keep, "n", "tokens").mapInPandas(run, schema).select(*keep, "n", F.explode("probes").alias("_p"))
+    return x.select(*keep, "n", F.posexplode("_p").alias("pos", "key")).select("key", "pos", "n", *keep)
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether the hit of a seed (columns a.pos, a.n, a.sig0, a.sig1 and the same of b) may belong to a near-equal pair."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    most = F.floor(F.greatest(col(a, "n"), col(b, "n")) / ONE_IN)
+    apart = F.bit_count(col(a, "sig0").bitwiseXOR(col(b, "sig0"))) + F.bit_count(col(a, "sig1").bitwiseXOR(col(b, "sig1")))
+    return (F.abs(col(a, "n") - col(b, "n")) <= most) & (F.abs(col(a, "pos") - col(b, "pos")) <= most) & (apart <= 2 * most)

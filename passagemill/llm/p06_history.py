@@ -1,15 +1,20 @@
 """Problem 6: new batches against everything accepted before.
 
-Method: incremental record linkage. The accepted passages persist as a table of classes (exact copies are one class, known
-by their earliest row) with their blocking keys, the anchors of near.py. A batch probes that table: only the blocks that a
-key of the batch names are read. Candidate pairs get a score from agreement fields with learned weights (logistic
-regression on a bounded sample of at most SAMPLE_TEXTS texts and edited copies of them); what scores as a possible match is
-verified by edit distance over words, earliest candidate first. Clusters are the connected components of all near-equal
-pairs, those within a batch too: each block joins its own pairs by union-find and gives the links that joined, and smallest
-labels with pointer jumping resolve the links of all blocks to representatives (union-find with path compression as joins).
-
-Null and wordless texts repeat nothing by text; their hash may still be known. A null first_passage_id in seen_hashes names
-no passage and is passed over. A seen hash whose passage_id a table holds adds nothing to the text comparison.
+Method: incremental record linkage over persisted tables (History). A class is a word sequence with all its copies, known by
+its earliest row; its blocking keys are the seeds of near.py. A batch probes the key table with the runs of its own texts;
+hits that may be near-equal get a score from agreement fields with learned weights (logistic regression on a bounded sample
+of at most SAMPLE_TEXTS texts and edited copies of them). A pair scoring below the least that a pair within the limit can
+score, computed from the weights and the lengths, is none; the others are verified by edit distance over words. Then the
+batch's new classes and keys are appended, and its links update the mapping of classes to representatives by union-find:
+only clusters that a link touches get new rows.
+
+The tables lie under one path and may be opened again by another session. Classes are bucketed by id and keys by key, so a
+batch shuffles itself and scans, but neither shuffles nor tokenizes again, what is accepted. Rows of a batch are pending until its commit
+is written; what a crashed attempt left is never read. Batches must be accepted in ascending order.
+
+Rows without a batch number belong to no batch and give no row. Null and wordless texts repeat nothing by text; their hash
+may still be known. A null first_passage_id in seen_hashes names no passage and is passed over. A seen hash whose passage_id
+a table holds adds nothing to the text comparison.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..session import table, written
-from .near import ONE_IN, blocks, with_classes
+from ..session import delete_on_exit, exists, scratch_dir, table, written
+from .near import ONE_IN, most_edits, possible, probe_rows, seed_rows, with_classes
 from .words import edit_distance_within, gram_hashes
 
 SAMPLE_TEXTS = 300
-#: Below this score (log odds) a pair is no possible match; edited copies within the limit score far above.
-POSSIBLE = -4.0
+BUCKETS = 48
+#: A key is hot if more classes than this, and more than one in HOT_SHARE of all key rows, hold it: at most HOT_SHARE keys are. Their rows meet in cells of HOT_ROWS.
+HOT_ROWS, HOT_SHARE = 2000, 10_000
 
 
 def normal_hash(text: str | None) -> str | None:
@@ -45,16 +52,28 @@ def recomputed_hash(text: pd.Series) -> pd.Series:
     return text.map(normal_hash)
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Common members of two multisets."""
+    return (Counter(a.tolist()) & Counter(b.tolist())).total()
+
+
 def fields(a: np.ndarray, b: np.ndarray) -> list[float]:
     """Agreement of two word sequences: words, pairs of words, length, beginning and end."""
-    wa, wb = set(a.tolist()), set(b.tolist())
-    ga, gb = set(gram_hashes(a, 2).tolist()), set(gram_hashes(b, 2).tolist())
-    n = max(len(a), len(b))
-    return [1.0, len(wa & wb) / max(1, len(wa | wb)), len(ga & gb) / max(1, len(ga | gb)), abs(len(a) - len(b)) / n, float((a[:3] == b[:3]).all()) if min(len(a), len(b)) >= 3 else 0.0, float((a[-3:] == b[-3:]).all()) if min(len(a), len(b)) >= 3 else 0.0]
+    la, lb = len(a), len(b)
+    words, pairs = shared(a, b), shared(gram_hashes(a, 2), gram_hashes(b, 2))
+    ends = min(la, lb) >= 3
+    return [1.0, words / (la + lb - words), pairs / max(1, la + lb - 2 - pairs), abs(la - lb) / max(la, lb), float(ends and bool((a[:3] == b[:3]).all())), float(ends and bool((a[-3:] == b[-3:]).all()))]
+
+
+def least_score(w: np.ndarray, la: int, lb: int) -> float:
+    """The lowest score of a pair of these lengths within the limit: an edit costs at most one common word and two common pairs of words. Holds as the weights of agreement are not negative."""
+    n, most = max(la, lb), most_edits(la, lb)
+    words, pairs = n - most, max(0, n - 1 - 2 * most)
+    return float(w @ np.array([1.0, words / (la + lb - words), pairs / max(1, la + lb - 2 - pairs), abs(la - lb) / n, 0.0, 0.0])) - 1e-9
 
 
 def learned_weights(texts: list[np.ndarray], seed: int = 7) -> np.ndarray:
-    """Weights of the fields from texts and edited copies: up to one edit in six is a match, one in four or another text none."""
+    """Weights of the fields from texts and edited copies: up to one edit in six is a match, one in four or another text none. Agreement never weighs against a match."""
     r = np.random.default_rng(seed)
     texts = [t for t in texts if len(t) >= 6]
     if len(texts) < 20:
@@ -81,147 +100,223 @@ def learned_weights(texts: list[np.ndarray], seed: int = 7) -> np.ndarray:
     for _ in range(60):  # Newton steps with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(6), x.T @ (y - p) - 0.05 * w)
+    w[[1, 2, 4, 5]] = np.maximum(w[[1, 2, 4, 5]], 0.0)
+    w[3] = min(w[3], 0.0)
     return w
 
 
-def prober(weights: np.ndarray):
-    def probe_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of each class of side l of the block, the earliest class of side r that it nearly equals and that comes in a lower batch."""
-        none = pd.DataFrame({"class": [], "first_batch": [], "first_occurrence": [], "partner": [], "edits": [], "score": []})
-        new, old = pdf[pdf.side == "l"], pdf[pdf.side == "r"].sort_values(["first_batch", "first_occurrence"])
-        if not len(new) or not len(old):
-            return none
-        by = defaultdict(list)
-        for i, anchors in enumerate(old["anchors"]):
-            for g in anchors:
-                by[g].append(i)
-        ids = [np.frombuffer(x, dtype=np.uint32) for x in old["tokens"]]
-        oc, ob, oo = old["class"].tolist(), old["first_batch"].tolist(), old["first_occurrence"].tolist()
-        rows = []
-        for c, anchors, tokens, last, fb, fo in new[["class", "anchors", "tokens", "last_batch", "first_batch", "first_occurrence"]].itertuples(index=False):
-            a = np.frombuffer(tokens, dtype=np.uint32)
-            for i in sorted({i for g in anchors for i in by.get(g, ())}):
-                if ob[i] >= last or (ob[i], oo[i]) >= (fb, fo):  # the class's own first row is no worse
-                    break
-                b = ids[i]
-                most = max(len(a), len(b)) // ONE_IN
-                if abs(len(a) - len(b)) > most or oc[i] == c:
-                    continue
-                score = float(np.dot(weights, fields(a, b)))
-                if score < POSSIBLE:
-                    continue
-                e = edit_distance_within(a, b, most)
-                if e <= most:
-                    rows.append((c, ob[i], oo[i], oc[i], e, score))
-                    break
-        return pd.DataFrame(rows, columns=list(none.columns)) if rows else none
-
-    return probe_block
-
-
-def accepted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (occurrence_id, passage_id, batch_no, hash, class) and the persisted class table with its blocking keys."""
-    o = table(spark, sf_dir, "passage_occurrence").select(
-        "occurrence_id", "passage_id", "batch_no", F.coalesce("content_hash", F.when(F.col("normalized_text").isNotNull(), F.sha2("normalized_text", 256)), F.when(F.col("content_hash").isNull() & F.col("normalized_text").isNull(), recomputed_hash("raw_text"))).alias("hash"), F.col("raw_text").alias("text")
-    )
-    rows = written(with_classes(o), "p6-rows")
-    classes = rows.groupBy("class").agg(
-        F.min(F.struct("batch_no", "occurrence_id", "passage_id")).alias("f"), F.max("batch_no").alias("last_batch"), F.first("tokens").alias("tokens"), F.first("anchors").alias("anchors")
-    )
-    classes = classes.select("class", F.col("f.batch_no").alias("first_batch"), F.col("f.occurrence_id").alias("first_occurrence"), F.col("f.passage_id").alias("first_passage"), "last_batch", "tokens", "anchors")
-    return rows.drop("tokens", "anchors"), written(classes, "p6-classes")
+def verified(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Of pairs with tokens and other_tokens those that are nearly equal, with edits and score in place of the tokens."""
+    rest = [f for f in pairs.schema.fields if f.name not in ("tokens", "other_tokens")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            edits, score = [], []
+            for x, y in zip(p["tokens"], p["other_tokens"]):
+                a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                most, s = most_edits(len(a), len(b)), float(weights @ np.array(fields(a, b)))
+                edits.append(edit_distance_within(a, b, most) if s >= least_score(weights, len(a), len(b)) else most + 1)
+                edits[-1] = edits[-1] if edits[-1] <= most else -1
+                score.append(s)
+            out = p.drop(columns=["tokens", "other_tokens"]).assign(edits=pd.Series(edits, dtype="int32", index=p.index), score=pd.Series(score, dtype="float64", index=p.index))
+            yield out[out.edits >= 0]
 
-def links(classes: DataFrame) -> DataFrame:
-    """class, first_batch, first_occurrence, partner, edits, score: the earliest near-equal class of a lower batch, of each class that has one."""
-    sample = classes.select("tokens").orderBy(F.xxhash64("class")).limit(SAMPLE_TEXTS).collect()
-    weights = learned_weights([np.frombuffer(r.tokens, dtype=np.uint32) for r in sample])
-    cells, _ = blocks(classes, F.col("last_batch") > 0, F.lit(True), ["first_batch", "first_occurrence", "last_batch"], "p6")
-    out = cells.groupBy("block").applyInPandas(prober(weights), "class binary, first_batch int, first_occurrence bigint, partner binary, edits int, score double")
-    return out.groupBy("class").agg(F.min(F.struct("first_batch", "first_occurrence", "partner", "edits", "score")).alias("x")).select("class", "x.*")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["edits int", "score double"])
+    return pairs.mapInPandas(run, schema)
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """class, top: the least first of its component. edges: class, partner, both ways; nodes: class, first (a struct that ends in the class)."""
+    label = nodes.select("class", F.col("first").alias("top"))
+    while True:  # each label becomes the least of its neighbours' and then that of the class it names
+        near = edges.join(label.select(F.col("class").alias("partner"), F.col("top").alias("seen")), "partner").groupBy("class").agg(F.min("seen").alias("seen"))
+        hooked = written(label.join(near, "class").select("class", F.least("top", "seen").alias("top"), (F.col("seen") < F.col("top")).alias("changed")), "p6-labels")
+        if hooked.filter("changed").isEmpty():
+            return hooked.select("class", "top")
+        label = written(hooked.select("class", F.col("top.class").alias("mid")).join(hooked.select(F.col("class").alias("mid"), "top"), "mid").select("class", "top"), "p6-labels")
+
+
+class History:
+    """The accepted passages under a path: classes, keys, parents, commits, and the weights of the score."""
+
+    CLASSES = "class binary, id bigint, n int, first_batch int, first_occurrence bigint, first_passage string, tokens binary, attempt string"
+    KEYS = "key bigint, pos int, n int, id bigint, sig0 bigint, sig1 bigint, attempt string"
+    PARENTS = "class binary, parent struct<first_batch: int, first_occurrence: bigint, class: binary>, batch int, attempt string"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        if exists(spark, f"{self.path}/layout"):
+            buckets = spark.read.schema("buckets int").parquet(f"{self.path}/layout").first()[0]
+        else:
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{self.path}/layout")
+        self.buckets = buckets
+        self.names = {}
+        for name, columns, by in (("classes", self.CLASSES, "id"), ("keys", self.KEYS, "key")):
+            self.names[name] = f"passagemill_{name}_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {self.names[name]} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def close(self) -> None:
+        """Forget the tables' names; what is stored stays."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def commits(self) -> dict[str, int]:
+        """Batch of each committed attempt; one row for each batch."""
+        where = f"{self.path}/commits"
+        return {r.attempt: r.batch for r in self.spark.read.schema("batch int, attempt string").parquet(where).collect()} if exists(self.spark, where) else {}
+
+    def read(self, name: str, also: str | None = None) -> DataFrame:
+        """A table's committed rows, and those of one pending attempt."""
+        if name in self.names:
+            self.spark.catalog.refreshTable(self.names[name])
+            df = self.spark.table(self.names[name])
+        elif exists(self.spark, f"{self.path}/{name}"):
+            df = self.spark.read.schema(self.PARENTS).parquet(f"{self.path}/{name}")
+        else:
+            return self.spark.createDataFrame([], self.PARENTS)
+        return df.filter(F.col("attempt").isin([*self.commits(), *([also] if also else [])]))
+
+    def weights(self, classes: DataFrame) -> np.ndarray:
+        """The stored weights; at first they are learned from a sample of the classes at hand."""
+        where = f"{self.path}/weights"
+        if not exists(self.spark, where):
+            sample = classes.select("tokens").orderBy(F.xxhash64("class")).limit(SAMPLE_TEXTS).collect()
+            w = learned_weights([np.frombuffer(r.tokens, dtype=np.uint32) for r in sample])
+            self.spark.createDataFrame([(w.tolist(),)], "w array<double>").coalesce(1).write.mode("overwrite").parquet(where)
+        return np.array(self.spark.read.schema("w array<double>").parquet(where).first()[0])
+
+    def _append(self, name: str, df: DataFrame, by: str) -> None:
+        df.select(*[c.split()[0] for c in (self.CLASSES if name == "classes" else self.KEYS).split(", ")]).repartition(self.buckets, by).write.insertInto(self.names[name])
+
+    def candidates(self, classes: DataFrame, attempt: str) -> DataFrame:
+        """id, other: ids of classes of a batch and of accepted ones, the batch's own among them, that share a seed and may be near-equal."""
+        keys = self.read("keys", attempt)
+        probes = probe_rows(classes, "id", "sig0", "sig1")
+        least = max(HOT_ROWS, keys.count() // HOT_SHARE)
+        hot = self.spark.createDataFrame(keys.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > least).collect(), "key bigint, held bigint")  # at most HOT_SHARE rows
+        some_hot = hot.count() > 0
+        pair = (F.col("p.id") != F.col("k.id")) & ((F.col("k.attempt") != attempt) | (F.col("p.id") < F.col("k.id"))) & possible("p", "k")
+        cold = lambda x: x.join(F.broadcast(hot), "key", "left_anti") if some_hot else x
+        out = cold(probes).alias("p").join(cold(keys).alias("k"), F.col("p.key") == F.col("k.key")).filter(pair).select(F.col("p.id").alias("id"), F.col("k.id").alias("other"))
+        if some_hot:
+            cells = F.ceil(F.col("held") / HOT_ROWS).cast("int")
+            k = keys.join(F.broadcast(hot), "key").withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int"))
+            p = probes.join(F.broadcast(hot), "key").withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
+            on = (F.col("p.key") == F.col("k.key")) & (F.col("p.cell") == F.col("k.cell"))
+            out = out.unionByName(p.alias("p").join(k.alias("k"), on).filter(pair).select(F.col("p.id").alias("id"), F.col("k.id").alias("other")))
+        return out.distinct()
+
+    def accept(self, rows: DataFrame, batch: int, link: bool = True) -> DataFrame:
+        """Take a batch (occurrence_id, passage_id, hash, text) and return occurrence_id, hash, class, m of its rows: m (batch, occurrence, passage, kind, score) is the earliest row of a lower batch with an equal or nearly equal text, null if there is none.
+
+        link=False is for a history that is accepted as it is: its rows are not compared with each other.
+        """
+        attempt = uuid.uuid4().hex
+        rows = written(with_classes(rows), "p6-rows")
+        one = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("occurrence_id", "passage_id")).alias("f"), *[F.first(c).alias(c) for c in ("id", "n", "sig0", "sig1", "tokens")])
+        known = self.read("classes").select(F.col("class").alias("_c"), F.col("id").alias("_id"), "first_batch", "first_occurrence", "first_passage")
+        one = one.join(known, (F.col("id") == F.col("_id")) & (F.col("class") == F.col("_c")), "left").drop("_c", "_id")
+        is_new = F.col("first_batch").isNull()
+        one = one.select("class", "id", "n", "sig0", "sig1", "tokens", is_new.alias("is_new"), F.coalesce("first_batch", F.lit(batch)).alias("first_batch"), F.when(is_new, F.col("f.occurrence_id")).otherwise(F.col("first_occurrence")).alias("first_occurrence"), F.when(is_new, F.col("f.passage_id")).otherwise(F.col("first_passage")).alias("first_passage"))
+        one = written(one, "p6-classes")
+        new = one.filter("is_new").withColumn("attempt", F.lit(attempt))
+        self._append("classes", new, "id")
+        self._append("keys", seed_rows(new, "id", "sig0", "sig1", "attempt"), "key")
+        exact = one.filter(~F.col("is_new")).select("class", F.struct(F.col("first_batch").alias("batch"), F.col("first_occurrence").alias("occurrence"), F.col("first_passage").alias("passage"), F.lit("exact").alias("kind"), F.lit(None).cast("double").alias("score")).alias("m"))
+        matches = exact
+        if link:
+            near = self.links(one, attempt)
+            self._merge(near, batch, attempt)
+            close = near.filter(F.col("other_batch") < batch).select("class", F.struct(F.col("other_batch").alias("batch"), F.col("other_occurrence").alias("occurrence"), F.col("other_passage").alias("passage"), F.lit("near").alias("kind"), "score").alias("m"))
+            matches = exact.unionByName(close).groupBy("class").agg(F.min_by("m", F.struct("m.batch", "m.occurrence")).alias("m"))
+        self.spark.createDataFrame([(batch, attempt)], "batch int, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        return rows.select("occurrence_id", "hash", "class").join(matches, "class", "left")
+
+    def links(self, one: DataFrame, attempt: str) -> DataFrame:
+        """Verified near-equal pairs of classes of a batch with accepted ones, of two of the batch once: class, first_batch, first_occurrence, other_class, other_batch, other_occurrence, other_passage, edits, score."""
+        pairs = self.candidates(one, attempt)
+        mine = one.select("id", "class", "tokens", "first_batch", "first_occurrence")
+        theirs = self.read("classes", attempt).select(F.col("id").alias("other"), F.col("class").alias("other_class"), F.col("tokens").alias("other_tokens"), F.col("first_batch").alias("other_batch"), F.col("first_occurrence").alias("other_occurrence"), F.col("first_passage").alias("other_passage"))
+        return written(verified(pairs.join(mine, "id").join(theirs, "other").drop("id", "other"), self.weights(one)), "p6-links")
+
+    def roots(self, nodes: DataFrame) -> DataFrame:
+        """class, root (first_batch, first_occurrence, class) of nodes (class, first): the newest parent row of each class, followed to its end. A batch points straight at its root, so the way is at most as long as there are batches."""
+        parents = self.read("parents").groupBy("class").agg(F.max_by("parent", "batch").alias("parent")).select(F.col("class").alias("_c"), "parent")
+        x = nodes.select("class", F.col("first").alias("root"))
+        if not exists(self.spark, f"{self.path}/parents"):
+            return x
+        while True:
+            x = written(x.join(parents, F.col("root.class") == F.col("_c"), "left").select("class", F.coalesce("parent", "root").alias("root"), (F.col("parent")["class"] != F.col("root")["class"]).alias("moved")), "p6-roots")
+            if x.filter("moved").isEmpty():
+                return x.select("class", "root")
+
+    def _merge(self, near: DataFrame, batch: int, attempt: str) -> None:
+        """Union-find: the clusters that links join get the earliest of their roots; a row is written for each linked class and each root that changed."""
+        first = lambda b, o, c: F.struct(F.col(b).alias("first_batch"), F.col(o).alias("first_occurrence"), F.col(c).alias("class"))
+        ends = near.select("class", first("first_batch", "first_occurrence", "class").alias("first")).unionByName(near.select(F.col("other_class").alias("class"), first("other_batch", "other_occurrence", "other_class").alias("first"))).distinct()
+        found = written(self.roots(ends), "p6-ends")
+        root_of = lambda c, name: found.select(F.col("class").alias(c), F.col("root").alias(name))
+        e = near.select("class", "other_class").join(root_of("class", "a"), "class").join(root_of("other_class", "b"), "other_class")
+        edges = written(e.select(F.col("a.class").alias("class"), F.col("b.class").alias("partner")).filter("class <> partner").distinct(), "p6-edges")
+        edges = edges.unionByName(edges.select(F.col("partner").alias("class"), F.col("class").alias("partner"))).distinct()
+        nodes = found.select(F.col("root.class").alias("class"), F.col("root").alias("first")).distinct()
+        top = components(edges, nodes.join(edges.select("class").distinct(), "class", "left_semi"))
+        moved = top.filter(F.col("top.class") != F.col("class"))
+        rows = found.join(moved.select(F.col("class").alias("_r"), "top"), F.col("root.class") == F.col("_r")).select("class", F.col("top").alias("parent")).unionByName(moved.select("class", F.col("top").alias("parent"))).distinct()
+        rows.select("class", "parent", F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt")).coalesce(1).write.mode("append").parquet(f"{self.path}/parents")
+
+
+def batches_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """The rows with the hash that content_hash has or should have, and the batch numbers in order."""
+    o = table(spark, sf_dir, "passage_occurrence").filter("batch_no is not null")
+    hash_ = F.coalesce("content_hash", F.when(F.col("normalized_text").isNotNull(), F.sha2("normalized_text", 256)), F.when(F.col("content_hash").isNull() & F.col("normalized_text").isNull(), recomputed_hash("raw_text")))
+    return o.select("occurrence_id", "passage_id", "batch_no", hash_.alias("hash"), F.col("raw_text").alias("text")), sorted(r[0] for r in o.select("batch_no").distinct().collect())
+
+
+def new_history(spark: SparkSession) -> History:
+    """An empty history in the shared scratch folder; it goes when the application ends."""
+    path = f"{scratch_dir(spark)}/passagemill-history-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return History(spark, path)
+
+
+def run_batches(spark: SparkSession, sf_dir: str, history: History, link_first: bool) -> DataFrame | None:
+    """Accept the batches in order; occurrence_id, batch_no, hash, class, m of the rows of all batches."""
+    rows, numbers = batches_of(spark, sf_dir)
+    out = None
+    for b in numbers:
+        part = history.accept(rows.filter(F.col("batch_no") == b).drop("batch_no"), b, link_first or b != numbers[0]).withColumn("batch_no", F.lit(b))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """occurrence_id, batch_no, first_passage_id (null: new), kind (seen, exact, near or new) of every row of batches 1 and up."""
-    rows, classes = accepted(spark, sf_dir)
-    near = links(classes).join(classes.select(F.col("class").alias("partner"), F.col("first_passage").alias("near_passage")), "partner").select("class", F.col("first_batch").alias("near_batch"), F.col("first_occurrence").alias("near_occurrence"), "near_passage")
-    by_text = classes.filter("last_batch > 0").select("class", "first_batch", "first_occurrence", "first_passage").join(near, "class", "left")
-    by_text = by_text.select(
-        "class", F.least(F.struct(F.col("first_batch").alias("b"), F.col("first_occurrence").alias("o"), F.col("first_passage").alias("p"), F.lit("exact").alias("k")), F.when(F.col("near_batch").isNotNull(), F.struct(F.col("near_batch").alias("b"), F.col("near_occurrence").alias("o"), F.col("near_passage").alias("p"), F.lit("near").alias("k")))).alias("m")
-    )
+    """occurrence_id, batch_no, first_passage_id (null: new), kind (seen, exact, near or new), score (of near) of every row of batches 1 and up."""
+    history = new_history(spark)
+    out = run_batches(spark, sf_dir, history, link_first=False)
+    if out is None:
+        return spark.createDataFrame([], "occurrence_id bigint, batch_no int, first_passage_id string, kind string, score double")
     kept = table(spark, sf_dir, "passage_occurrence").select(F.col("passage_id").alias("first_passage_id"))
     old = table(spark, sf_dir, "seen_hashes").filter("first_passage_id is not null and content_hash is not null").join(kept, "first_passage_id", "left_anti")
     old = old.groupBy(F.col("content_hash").alias("hash")).agg(F.min("first_passage_id").alias("old_id"))
-    every = table(spark, sf_dir, "passage_occurrence").filter("batch_no > 0").select("occurrence_id", "passage_id", "batch_no")
-    new = rows.filter("batch_no > 0")
-    hashed = new.join(by_text, "class", "left").join(old, "hash", "left")
-    out = hashed.select(
-        "occurrence_id", "batch_no",
-        F.when(F.col("old_id").isNotNull(), F.col("old_id")).when(F.col("m.b") < F.col("batch_no"), F.col("m.p")).alias("first_passage_id"),
-        F.when(F.col("old_id").isNotNull(), "seen").when(F.col("m.b") < F.col("batch_no"), F.col("m.k")).otherwise("new").alias("kind"),
+    seen = F.col("old_id").isNotNull()
+    return out.filter("batch_no > 0").join(old, "hash", "left").select(
+        "occurrence_id", "batch_no", F.coalesce("old_id", "m.passage").alias("first_passage_id"),
+        F.when(seen, "seen").otherwise(F.coalesce("m.kind", F.lit("new"))).alias("kind"), F.when(~seen, F.col("m.score")).alias("score"),
     )
-    # wordless rows have no class; they are known by hash or new
-    bare = every.join(new.select("occurrence_id"), "occurrence_id", "left_anti")
-    bare = bare.join(table(spark, sf_dir, "passage_occurrence").select("occurrence_id", F.coalesce("content_hash", F.sha2("normalized_text", 256)).alias("hash")), "occurrence_id").join(old, "hash", "left")
-    return out.unionByName(bare.select("occurrence_id", "batch_no", F.col("old_id").alias("first_passage_id"), F.when(F.col("old_id").isNotNull(), "seen").otherwise("new").alias("kind")))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).filter("first_passage_id is not null").select("occurrence_id", "first_passage_id").distinct()
 
 
-def joined_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """class, partner: verified near-equal pairs that connect what all near-equal pairs of the block connect. A pair whose classes are connected already needs no check."""
-    left, right = pdf[pdf.side == "l"], pdf[pdf.side == "r"]
-    by = defaultdict(list)
-    for i, anchors in enumerate(right["anchors"]):
-        for g in anchors:
-            by[g].append(i)
-    classes = right["class"].tolist()
-    ids = [np.frombuffer(x, dtype=np.uint32) for x in right["tokens"]]
-    bags = [Counter(x.tolist()) for x in ids]
-    top: dict[bytes, bytes] = {}
-
-    def find(c: bytes) -> bytes:
-        while (up := top.get(c, c)) != c:
-            top[c] = top.get(up, up)
-            c = up
-        return c
-
-    rows = []
-    for c, anchors, tokens in left[["class", "anchors", "tokens"]].itertuples(index=False):
-        a = np.frombuffer(tokens, dtype=np.uint32)
-        bag = Counter(a.tolist())
-        for i in {i for g in anchors for i in by.get(g, ())}:
-            b, n = ids[i], max(len(a), len(ids[i]))
-            most = n // ONE_IN
-            # each pair meets both ways round; words that only one side has are edits
-            if classes[i] <= c or abs(len(a) - len(b)) > most or n - (bag & bags[i]).total() > most:
-                continue
-            x, y = find(c), find(classes[i])
-            if x != y and edit_distance_within(a, b, most) <= most:
-                top[y] = x
-                rows.append((c, classes[i]))
-    return pd.DataFrame(rows, columns=["class", "partner"]) if rows else pd.DataFrame({"class": [], "partner": []})
-
-
-def components(classes: DataFrame) -> DataFrame:
-    """class, top (the earliest class of its cluster) of the classes that nearly equal another."""
-    cells, _ = blocks(classes, F.lit(True), F.lit(True), [], "p6-all")
-    pairs = written(cells.groupBy("block").applyInPandas(joined_in_block, "class binary, partner binary").distinct(), "p6-pairs")
-    edges = pairs.unionByName(pairs.select(F.col("partner").alias("class"), F.col("class").alias("partner")))
-    label = edges.select("class").distinct().join(classes, "class").select("class", F.struct("first_batch", "first_occurrence", "class").alias("top"))
-    while True:  # each label becomes the least of its neighbours' and then that of the class it names
-        near = edges.join(label.select(F.col("class").alias("partner"), F.col("top").alias("seen")), "partner").groupBy("class").agg(F.min("seen").alias("seen"))
-        hooked = written(label.join(near, "class").select("class", F.least("top", "seen").alias("top"), (F.col("seen") < F.col("top")).alias("changed")), "p6-labels")
-        if hooked.filter("changed").isEmpty():
-            return hooked.select("class", F.col("top.class").alias("top"))
-        label = written(hooked.select("class", F.col("top.class").alias("mid")).join(hooked.select(F.col("class").alias("mid"), "top"), "mid").select("class", "top"), "p6-labels")
-
-
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """occurrence_id, representative (passage_id of the earliest row of its cluster): connected components of all near-equal pairs."""
-    rows, classes = accepted(spark, sf_dir)
-    parent = classes.select("class").join(components(classes), "class", "left").select("class", F.coalesce("top", "class").alias("parent"))
-    top = parent.join(classes.select(F.col("class").alias("parent"), F.col("first_passage").alias("representative")), "parent")
-    return rows.join(top, "class").select("occurrence_id", "representative")
+    """occurrence_id, representative (passage_id of the earliest row of its cluster) of each row with a word: connected components of all near-equal pairs, as the mapping has them after the last batch."""
+    history = new_history(spark)
+    out = run_batches(spark, sf_dir, history, link_first=True)
+    if out is None:
+        return spark.createDataFrame([], "occurrence_id bigint, representative string")
+    classes = history.read("classes").select("class", "first_passage", F.struct("first_batch", "first_occurrence", "class").alias("first"))
+    top = history.roots(classes.select("class", "first")).select("class", F.col("root.class").alias("_top"))
+    name = classes.select(F.col("class").alias("_top"), F.col("first_passage").alias("representative"))
+    return out.filter("class is not null").select("occurrence_id", "class").join(top, "class").join(name, "_top").select("occurrence_id", "representative")

@@ -10,6 +10,7 @@ REGISTRY = [
     ("p1_main_text", "p01_boilerplate", "main_text"),
     ("p2_found", "p02_overlap", "found"),
     ("p2_report", "p02_overlap", "report"),
+    ("p2_links", "p02_overlap", "links"),
     ("p3_found", "p03_sentences", "found"),
     ("p3_sentences", "p03_sentences", "sentences"),
     ("p4_found", "p04_language", "found"),

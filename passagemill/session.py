@@ -36,19 +36,38 @@ def scratch_dir(spark: SparkSession) -> str:
     if not where:
         where = sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="passagemill-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The path, there already or not yet, goes when the application ends."""
+    p, fs = _at(spark, path)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the scratch folder: lineage ends there and a lost executor costs no recomputation. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/passagemill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,6 +25,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -37,9 +38,11 @@ from .near import ONE_IN, most_edits, possible, probe_rows, seed_rows, with_clas
 from .words import edit_distance_within, gram_hashes
 
 SAMPLE_TEXTS = 300
-BUCKETS = 48
-#: A key is hot if more classes than this, and more than one in HOT_SHARE of all key rows, hold it: at most HOT_SHARE keys are. Their rows meet in cells of HOT_ROWS.
-HOT_ROWS, HOT_SHARE = 2000, 10_000
+BUCKETS = 24
+#: The most held keys, at most HOT_KEYS of those that more than HOT_ROWS classes hold, are hot: what holds them meets in cells of HOT_ROWS rows. Others meet in one task each.
+HOT_ROWS, HOT_KEYS = 2000, 10_000
+#: Links of a batch whose clusters one task joins; beyond, joins do.
+LINKS_AT_ONCE = 1_000_000
 
 
 def normal_hash(text: str | None) -> str | None:
@@ -154,17 +157,14 @@ class History:
         for name, columns, by in (("classes", self.CLASSES, "id"), ("keys", self.KEYS, "key")):
             self.names[name] = f"passagemill_{name}_{uuid.uuid4().hex}"
             spark.sql(f"CREATE TABLE {self.names[name]} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        done = spark.read.schema("batch int, attempt string").parquet(f"{self.path}/commits").collect() if exists(spark, f"{self.path}/commits") else []
+        self.attempts = {r.attempt: r.batch for r in done}  # one for each batch
 
     def close(self) -> None:
         """Forget the tables' names; what is stored stays."""
         for name in self.names.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def commits(self) -> dict[str, int]:
-        """Batch of each committed attempt; one row for each batch."""
-        where = f"{self.path}/commits"
-        return {r.attempt: r.batch for r in self.spark.read.schema("batch int, attempt string").parquet(where).collect()} if exists(self.spark, where) else {}
-
     def read(self, name: str, also: str | None = None) -> DataFrame:
         """A table's committed rows, and those of one pending attempt."""
         if name in self.names:
@@ -174,7 +174,7 @@ class History:
             df = self.spark.read.schema(self.PARENTS).parquet(f"{self.path}/{name}")
         else:
             return self.spark.createDataFrame([], self.PARENTS)
-        return df.filter(F.col("attempt").isin([*self.commits(), *([also] if also else [])]))
+        return df.filter(F.col("attempt").isin([*self.attempts, *([also] if also else [])]))
 
     def weights(self, classes: DataFrame) -> np.ndarray:
         """The stored weights; at first they are learned from a sample of the classes at hand."""
@@ -192,9 +192,9 @@ class History:
         """id, other: ids of classes of a batch and of accepted ones, the batch's own among them, that share a seed and may be near-equal."""
         keys = self.read("keys", attempt)
         probes = probe_rows(classes, "id", "sig0", "sig1")
-        least = max(HOT_ROWS, keys.count() // HOT_SHARE)
-        hot = self.spark.createDataFrame(keys.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > least).collect(), "key bigint, held bigint")  # at most HOT_SHARE rows
-        some_hot = hot.count() > 0
+        most = keys.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > HOT_ROWS).orderBy(F.desc("held"), "key").limit(HOT_KEYS).collect()
+        some_hot = len(most) > 0
+        hot = self.spark.createDataFrame(most, "key bigint, held bigint")
         pair = (F.col("p.id") != F.col("k.id")) & ((F.col("k.attempt") != attempt) | (F.col("p.id") < F.col("k.id"))) & possible("p", "k")
         cold = lambda x: x.join(F.broadcast(hot), "key", "left_anti") if some_hot else x
         out = cold(probes).alias("p").join(cold(keys).alias("k"), F.col("p.key") == F.col("k.key")).filter(pair).select(F.col("p.id").alias("id"), F.col("k.id").alias("other"))
@@ -207,12 +207,12 @@ class History:
         return out.distinct()
 
     def accept(self, rows: DataFrame, batch: int, link: bool = True) -> DataFrame:
-        """Take a batch (occurrence_id, passage_id, hash, text) and return occurrence_id, hash, class, m of its rows: m (batch, occurrence, passage, kind, score) is the earliest row of a lower batch with an equal or nearly equal text, null if there is none.
+        """Take a batch (occurrence_id, passage_id, hash and text, or what with_classes makes of it) and return occurrence_id, hash, class, m of its rows: m (batch, occurrence, passage, kind, score) is the earliest row of a lower batch with an equal or nearly equal text, null if there is none.
 
         link=False is for a history that is accepted as it is: its rows are not compared with each other.
         """
         attempt = uuid.uuid4().hex
-        rows = written(with_classes(rows), "p6-rows")
+        rows = rows if "tokens" in rows.columns else written(with_classes(rows), "p6-rows")
         one = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("occurrence_id", "passage_id")).alias("f"), *[F.first(c).alias(c) for c in ("id", "n", "sig0", "sig1", "tokens")])
         known = self.read("classes").select(F.col("class").alias("_c"), F.col("id").alias("_id"), "first_batch", "first_occurrence", "first_passage")
         one = one.join(known, (F.col("id") == F.col("_id")) & (F.col("class") == F.col("_c")), "left").drop("_c", "_id")
@@ -220,8 +220,10 @@ class History:
         one = one.select("class", "id", "n", "sig0", "sig1", "tokens", is_new.alias("is_new"), F.coalesce("first_batch", F.lit(batch)).alias("first_batch"), F.when(is_new, F.col("f.occurrence_id")).otherwise(F.col("first_occurrence")).alias("first_occurrence"), F.when(is_new, F.col("f.passage_id")).otherwise(F.col("first_passage")).alias("first_passage"))
         one = written(one, "p6-classes")
         new = one.filter("is_new").withColumn("attempt", F.lit(attempt))
-        self._append("classes", new, "id")
-        self._append("keys", seed_rows(new, "id", "sig0", "sig1", "attempt"), "key")
+        with ThreadPoolExecutor(2) as both:
+            jobs = [both.submit(self._append, "classes", new, "id"), both.submit(self._append, "keys", seed_rows(new, "id", "sig0", "sig1", "attempt"), "key")]
+            for j in jobs:
+                j.result()
         exact = one.filter(~F.col("is_new")).select("class", F.struct(F.col("first_batch").alias("batch"), F.col("first_occurrence").alias("occurrence"), F.col("first_passage").alias("passage"), F.lit("exact").alias("kind"), F.lit(None).cast("double").alias("score")).alias("m"))
         matches = exact
         if link:
@@ -230,6 +232,7 @@ class History:
             close = near.filter(F.col("other_batch") < batch).select("class", F.struct(F.col("other_batch").alias("batch"), F.col("other_occurrence").alias("occurrence"), F.col("other_passage").alias("passage"), F.lit("near").alias("kind"), "score").alias("m"))
             matches = exact.unionByName(close).groupBy("class").agg(F.min_by("m", F.struct("m.batch", "m.occurrence")).alias("m"))
         self.spark.createDataFrame([(batch, attempt)], "batch int, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.attempts[attempt] = batch
         return rows.select("occurrence_id", "hash", "class").join(matches, "class", "left")
 
     def links(self, one: DataFrame, attempt: str) -> DataFrame:
@@ -239,33 +242,53 @@ class History:
         theirs = self.read("classes", attempt).select(F.col("id").alias("other"), F.col("class").alias("other_class"), F.col("tokens").alias("other_tokens"), F.col("first_batch").alias("other_batch"), F.col("first_occurrence").alias("other_occurrence"), F.col("first_passage").alias("other_passage"))
         return written(verified(pairs.join(mine, "id").join(theirs, "other").drop("id", "other"), self.weights(one)), "p6-links")
 
+    def parents(self) -> DataFrame:
+        """class, parent: the newest row of each class that a link ever joined to another; its parent is the root of its cluster."""
+        return self.read("parents").groupBy("class").agg(F.max_by("parent", "batch").alias("parent"))
+
     def roots(self, nodes: DataFrame) -> DataFrame:
-        """class, root (first_batch, first_occurrence, class) of nodes (class, first): the newest parent row of each class, followed to its end. A batch points straight at its root, so the way is at most as long as there are batches."""
-        parents = self.read("parents").groupBy("class").agg(F.max_by("parent", "batch").alias("parent")).select(F.col("class").alias("_c"), "parent")
-        x = nodes.select("class", F.col("first").alias("root"))
-        if not exists(self.spark, f"{self.path}/parents"):
-            return x
-        while True:
-            x = written(x.join(parents, F.col("root.class") == F.col("_c"), "left").select("class", F.coalesce("parent", "root").alias("root"), (F.col("parent")["class"] != F.col("root")["class"]).alias("moved")), "p6-roots")
-            if x.filter("moved").isEmpty():
-                return x.select("class", "root")
+        """class, root (first_batch, first_occurrence, class) of nodes (class, first)."""
+        return nodes.join(self.parents(), "class", "left").select("class", F.coalesce("parent", "first").alias("root"))
 
     def _merge(self, near: DataFrame, batch: int, attempt: str) -> None:
-        """Union-find: the clusters that links join get the earliest of their roots; a row is written for each linked class and each root that changed."""
+        """Union-find: clusters that links join get the earliest of their roots, and each member of a cluster whose root changed gets a row, so that one look finds a root."""
         first = lambda b, o, c: F.struct(F.col(b).alias("first_batch"), F.col(o).alias("first_occurrence"), F.col(c).alias("class"))
-        ends = near.select("class", first("first_batch", "first_occurrence", "class").alias("first")).unionByName(near.select(F.col("other_class").alias("class"), first("other_batch", "other_occurrence", "other_class").alias("first"))).distinct()
-        found = written(self.roots(ends), "p6-ends")
-        root_of = lambda c, name: found.select(F.col("class").alias(c), F.col("root").alias(name))
-        e = near.select("class", "other_class").join(root_of("class", "a"), "class").join(root_of("other_class", "b"), "other_class")
-        edges = written(e.select(F.col("a.class").alias("class"), F.col("b.class").alias("partner")).filter("class <> partner").distinct(), "p6-edges")
-        edges = edges.unionByName(edges.select(F.col("partner").alias("class"), F.col("class").alias("partner"))).distinct()
-        nodes = found.select(F.col("root.class").alias("class"), F.col("root").alias("first")).distinct()
-        top = components(edges, nodes.join(edges.select("class").distinct(), "class", "left_semi"))
-        moved = top.filter(F.col("top.class") != F.col("class"))
-        rows = found.join(moved.select(F.col("class").alias("_r"), "top"), F.col("root.class") == F.col("_r")).select("class", F.col("top").alias("parent")).unionByName(moved.select("class", F.col("top").alias("parent"))).distinct()
+        of = self.parents()
+        parent_of = lambda c, name: of.select(F.col("class").alias(c), F.col("parent").alias(name))
+        e = near.select("class", first("first_batch", "first_occurrence", "class").alias("a"), "other_class", first("other_batch", "other_occurrence", "other_class").alias("b"))
+        e = e.join(parent_of("class", "pa"), "class", "left").join(parent_of("other_class", "pb"), "other_class", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        e = e.filter(F.col("a.class") != F.col("b.class"))
+        if near.count() <= LINKS_AT_ONCE:
+            flat = e.select("a.*", F.col("b.first_batch").alias("batch2"), F.col("b.first_occurrence").alias("occurrence2"), F.col("b.class").alias("class2"))
+            moved = flat.groupBy().applyInPandas(joined, "class binary, first_batch int, first_occurrence bigint, top binary").select("class", F.struct("first_batch", "first_occurrence", F.col("top").alias("class")).alias("top"))
+        else:
+            e = written(e.distinct(), "p6-edges")
+            edges = e.select("a.class", F.col("b.class").alias("partner")).unionByName(e.select(F.col("b.class").alias("class"), F.col("a.class").alias("partner"))).distinct()
+            nodes = e.select(F.col("a").alias("first")).unionByName(e.select(F.col("b").alias("first"))).distinct().select("first.class", "first")
+            moved = components(edges, nodes).filter(F.col("top.class") != F.col("class"))
+        moved = written(moved, "p6-moved")
+        members = of.join(moved.select(F.col("class").alias("_r"), "top"), F.col("parent.class") == F.col("_r")).select("class", F.col("top").alias("parent"))
+        rows = moved.select("class", F.col("top").alias("parent")).unionByName(members)
         rows.select("class", "parent", F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt")).coalesce(1).write.mode("append").parquet(f"{self.path}/parents")
 
 
+def joined(edges: pd.DataFrame) -> pd.DataFrame:
+    """class, first_batch, first_occurrence, top of the ends of edges that are not the earliest of their component, by union-find with path compression."""
+    top: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    for b1, o1, c1, b2, o2, c2 in edges[["first_batch", "first_occurrence", "class", "batch2", "occurrence2", "class2"]].itertuples(index=False):
+        x, y = sorted((find((b1, o1, c1)), find((b2, o2, c2))))
+        top[y] = x
+    rows = [(x[2], *find(x)) for x in top if find(x) != x]
+    return pd.DataFrame(rows, columns=["class", "first_batch", "first_occurrence", "top"]) if rows else pd.DataFrame({"class": [], "first_batch": [], "first_occurrence": [], "top": []})
+
+
 def batches_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
     """The rows with the hash that content_hash has or should have, and the batch numbers in order."""
     o = table(spark, sf_dir, "passage_occurrence").filter("batch_no is not null")
@@ -283,7 +306,7 @@ def new_history(spark: SparkSession) -> History:
 def run_batches(spark: SparkSession, sf_dir: str, history: History, link_first: bool) -> DataFrame | None:
     """Accept the batches in order; occurrence_id, batch_no, hash, class, m of the rows of all batches."""
     rows, numbers = batches_of(spark, sf_dir)
-    out = None
+    rows, out = written(with_classes(rows), "p6-rows"), None
     for b in numbers:
         part = history.accept(rows.filter(F.col("batch_no") == b).drop("batch_no"), b, link_first or b != numbers[0]).withColumn("batch_no", F.lit(b))
         out = part if out is None else out.unionByName(part)

@@ -94,14 +94,16 @@ def seed_rows(classes: DataFrame, *keep: str) -> DataFrame:
 
 def probe_rows(classes: DataFrame, *keep: str) -> DataFrame:
     """key, pos and the kept columns: a row for each run that a partner of the class (n, tokens, keep) might have as a seed."""
-    schema = ", ".join([f"`{c}` {classes.schema[c].dataType.simpleString()}" for c in keep] + ["n int", "probes array<array<bigint>>"])
+    schema = ", ".join([f"`{c}` {classes.schema[c].dataType.simpleString()}" for c in keep] + ["n int", "probes array<bigint>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(probes=[probes_of(np.frombuffer(t, dtype=np.uint32)) for t in b["tokens"]])[[*keep, "n", "probes"]]
+            probes = [probes_of(np.frombuffer(t, dtype=np.uint32)) for t in b["tokens"]]
+            out = b[[*keep, "n"]].iloc[np.repeat(np.arange(len(b)), [len(p) for p in probes])]  # a row for each length of runs
+            yield out.reset_index(drop=True).assign(probes=pd.Series([g for p in probes for g in p], dtype="object"))
 
-    x = classes.select(*keep, "n", "tokens").mapInPandas(run, schema).select(*keep, "n", F.explode("probes").alias("_p"))
-    return x.select(*keep, "n", F.posexplode("_p").alias("pos", "key")).select("key", "pos", "n", *keep)
+    x = classes.select(*keep, "n", "tokens").mapInPandas(run, schema)
+    return x.select(*keep, "n", F.posexplode("probes").alias("pos", "key")).select("key", "pos", "n", *keep)
 
 
 def possible(a: str, b: str) -> Column:

@@ -142,9 +142,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 class History:
     """The accepted passages under a path: classes, keys, parents, commits, and the weights of the score."""
 
-    CLASSES = "class binary, id bigint, n int, first_batch int, first_occurrence bigint, first_passage string, tokens binary, attempt string"
-    KEYS = "key bigint, pos int, n int, id bigint, sig0 bigint, sig1 bigint, attempt string"
-    PARENTS = "class binary, parent struct<first_batch: int, first_occurrence: bigint, class: binary>, batch int, attempt string"
+    CLASSES = "class binary, id bigint, n int, first_batch int, first_occurrence bigint, first_passage string, tokens binary, attempt bigint"
+    KEYS = "key bigint, pos int, n int, id bigint, sig0 bigint, sig1 bigint, attempt bigint"
+    PARENTS = "class binary, parent struct<first_batch: int, first_occurrence: bigint, class: binary>, batch int, attempt bigint"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
@@ -157,7 +157,7 @@ class History:
         for name, columns, by in (("classes", self.CLASSES, "id"), ("keys", self.KEYS, "key")):
             self.names[name] = f"passagemill_{name}_{uuid.uuid4().hex}"
             spark.sql(f"CREATE TABLE {self.names[name]} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
-        done = spark.read.schema("batch int, attempt string").parquet(f"{self.path}/commits").collect() if exists(spark, f"{self.path}/commits") else []
+        done = spark.read.schema("batch int, attempt bigint").parquet(f"{self.path}/commits").collect() if exists(spark, f"{self.path}/commits") else []
         self.attempts = {r.attempt: r.batch for r in done}  # one for each batch
 
     def close(self) -> None:
@@ -165,7 +165,7 @@ class History:
         for name in self.names.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def read(self, name: str, also: str | None = None) -> DataFrame:
+    def read(self, name: str, also: int | None = None) -> DataFrame:
         """A table's committed rows, and those of one pending attempt."""
         if name in self.names:
             self.spark.catalog.refreshTable(self.names[name])
@@ -174,7 +174,7 @@ class History:
             df = self.spark.read.schema(self.PARENTS).parquet(f"{self.path}/{name}")
         else:
             return self.spark.createDataFrame([], self.PARENTS)
-        return df.filter(F.col("attempt").isin([*self.attempts, *([also] if also else [])]))
+        return df.filter(F.col("attempt").isin([*self.attempts, *([] if also is None else [also])]))
 
     def weights(self, classes: DataFrame) -> np.ndarray:
         """The stored weights; at first they are learned from a sample of the classes at hand."""
@@ -188,7 +188,7 @@ class History:
     def _append(self, name: str, df: DataFrame, by: str) -> None:
         df.select(*[c.split()[0] for c in (self.CLASSES if name == "classes" else self.KEYS).split(", ")]).repartition(self.buckets, by).write.insertInto(self.names[name])
 
-    def candidates(self, classes: DataFrame, attempt: str) -> DataFrame:
+    def candidates(self, classes: DataFrame, attempt: int) -> DataFrame:
         """id, other: ids of classes of a batch and of accepted ones, the batch's own among them, that share a seed and may be near-equal."""
         keys = self.read("keys", attempt)
         probes = probe_rows(classes, "id", "sig0", "sig1")
@@ -211,15 +211,16 @@ class History:
 
         link=False is for a history that is accepted as it is: its rows are not compared with each other.
         """
-        attempt = uuid.uuid4().hex
+        attempt = uuid.uuid4().int >> 65
         rows = rows if "tokens" in rows.columns else written(with_classes(rows), "p6-rows")
         one = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("occurrence_id", "passage_id")).alias("f"), *[F.first(c).alias(c) for c in ("id", "n", "sig0", "sig1", "tokens")])
-        known = self.read("classes").select(F.col("class").alias("_c"), F.col("id").alias("_id"), "first_batch", "first_occurrence", "first_passage")
-        one = one.join(known, (F.col("id") == F.col("_id")) & (F.col("class") == F.col("_c")), "left").drop("_c", "_id")
+        stored = self.read("classes").select(F.col("class").alias("_c"), "id", "first_batch", "first_occurrence", "first_passage")
+        known = one.select("class", "id").join(stored, "id").filter(F.col("class") == F.col("_c")).drop("_c", "id")
+        one = one.join(known, "class", "left")
         is_new = F.col("first_batch").isNull()
         one = one.select("class", "id", "n", "sig0", "sig1", "tokens", is_new.alias("is_new"), F.coalesce("first_batch", F.lit(batch)).alias("first_batch"), F.when(is_new, F.col("f.occurrence_id")).otherwise(F.col("first_occurrence")).alias("first_occurrence"), F.when(is_new, F.col("f.passage_id")).otherwise(F.col("first_passage")).alias("first_passage"))
         one = written(one, "p6-classes")
-        new = one.filter("is_new").withColumn("attempt", F.lit(attempt))
+        new = one.filter("is_new").withColumn("attempt", F.lit(attempt).cast("bigint"))
         with ThreadPoolExecutor(2) as both:
             jobs = [both.submit(self._append, "classes", new, "id"), both.submit(self._append, "keys", seed_rows(new, "id", "sig0", "sig1", "attempt"), "key")]
             for j in jobs:
@@ -231,11 +232,11 @@ class History:
             self._merge(near, batch, attempt)
             close = near.filter(F.col("other_batch") < batch).select("class", F.struct(F.col("other_batch").alias("batch"), F.col("other_occurrence").alias("occurrence"), F.col("other_passage").alias("passage"), F.lit("near").alias("kind"), "score").alias("m"))
             matches = exact.unionByName(close).groupBy("class").agg(F.min_by("m", F.struct("m.batch", "m.occurrence")).alias("m"))
-        self.spark.createDataFrame([(batch, attempt)], "batch int, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.spark.createDataFrame([(batch, attempt)], "batch int, attempt bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         self.attempts[attempt] = batch
         return rows.select("occurrence_id", "hash", "class").join(matches, "class", "left")
 
-    def links(self, one: DataFrame, attempt: str) -> DataFrame:
+    def links(self, one: DataFrame, attempt: int) -> DataFrame:
         """Verified near-equal pairs of classes of a batch with accepted ones, of two of the batch once: class, first_batch, first_occurrence, other_class, other_batch, other_occurrence, other_passage, edits, score."""
         pairs = self.candidates(one, attempt)
         mine = one.select("id", "class", "tokens", "first_batch", "first_occurrence")
@@ -250,7 +251,7 @@ class History:
         """class, root (first_batch, first_occurrence, class) of nodes (class, first)."""
         return nodes.join(self.parents(), "class", "left").select("class", F.coalesce("parent", "first").alias("root"))
 
-    def _merge(self, near: DataFrame, batch: int, attempt: str) -> None:
+    def _merge(self, near: DataFrame, batch: int, attempt: int) -> None:
         """Union-find: clusters that links join get the earliest of their roots, and each member of a cluster whose root changed gets a row, so that one look finds a root."""
         first = lambda b, o, c: F.struct(F.col(b).alias("first_batch"), F.col(o).alias("first_occurrence"), F.col(c).alias("class"))
         of = self.parents()
@@ -269,7 +270,7 @@ class History:
         moved = written(moved, "p6-moved")
         members = of.join(moved.select(F.col("class").alias("_r"), "top"), F.col("parent.class") == F.col("_r")).select("class", F.col("top").alias("parent"))
         rows = moved.select("class", F.col("top").alias("parent")).unionByName(members)
-        rows.select("class", "parent", F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt")).coalesce(1).write.mode("append").parquet(f"{self.path}/parents")
+        rows.select("class", "parent", F.lit(batch).alias("batch"), F.lit(attempt).cast("bigint").alias("attempt")).coalesce(1).write.mode("append").parquet(f"{self.path}/parents")
 
 
 def joined(edges: pd.DataFrame) -> pd.DataFrame:

@@ -197,7 +197,7 @@ def test_batch_moves_no_history(spark, tmp_path):
     with_tokens = near.with_classes(batch)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = h.candidates(with_tokens, "none")._jdf.queryExecution().executedPlan().toString().split("\n")
+        plan = h.candidates(with_tokens, 0)._jdf.queryExecution().executedPlan().toString().split("\n")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     at = next(i for i, x in enumerate(plan) if "passagemill_keys" in x)

@@ -57,6 +57,20 @@ def signature_of(ids: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=CELLS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def word_counts_allow(a: list[bytes], b: list[bytes], cells: int = 1024, at_once: int = 2000) -> np.ndarray:
+    """Which pairs of token strings differ by no more words than near-equal texts may: the counts of words in each of so many cells differ by 2 for an edit at most."""
+    out = []
+    for k in range(0, len(a), at_once):
+        x, y = ([np.frombuffer(t, dtype=np.uint32) for t in side[k : k + at_once]] for side in (a, b))
+        size = [np.array([len(t) for t in side]) for side in (x, y)]
+        count = []
+        for side, n in zip((x, y), size):
+            cell = (np.concatenate(side).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64) % cells
+            count.append(np.bincount(np.repeat(np.arange(len(side)) * cells, n) + cell, minlength=len(side) * cells).reshape(len(side), cells))
+        out.append(np.abs(count[0] - count[1]).sum(axis=1) <= 2 * (np.maximum(*size) // ONE_IN))
+    return np.concatenate(out) if out else np.zeros(0, dtype=bool)
+
+
 def with_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace the column text by class (128-bit hash of the word sequence), id (its first 64 bits, for narrow rows), n (words), sig0, sig1 and tokens (words as 32-bit hashes). A text without any word has a null class."""
     rest = [f for f in df.schema.fields if f.name != text]

@@ -2,7 +2,7 @@
 
 Method: incremental record linkage over persisted tables (History). A class is a word sequence with all its copies, known by
 its earliest row; its blocking keys are the seeds of near.py. A batch probes the key table with the runs of its own texts;
-hits that may be near-equal get a score from agreement fields with learned weights (logistic regression on a bounded sample
+hits that lengths, places and word counts allow get a score from agreement fields with learned weights (logistic regression on a bounded sample
 of at most SAMPLE_TEXTS texts and edited copies of them). A pair scoring below the least that a pair within the limit can
 score, computed from the weights and the lengths, is none; the others are verified by edit distance over words. Then the
 batch's new classes and keys are appended, and its links update the mapping of classes to representatives by union-find:
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import delete_on_exit, exists, scratch_dir, table, written
-from .near import ONE_IN, most_edits, possible, probe_rows, seed_rows, with_classes
+from .near import ONE_IN, most_edits, possible, probe_rows, seed_rows, with_classes, word_counts_allow
 from .words import edit_distance_within, gram_hashes
 
 SAMPLE_TEXTS = 300
@@ -114,6 +114,7 @@ def verified(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
+            p = p[word_counts_allow(p["tokens"].tolist(), p["other_tokens"].tolist())]
             edits, score = [], []
             for x, y in zip(p["tokens"], p["other_tokens"]):
                 a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)

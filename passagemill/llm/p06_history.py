@@ -186,8 +186,9 @@ class History:
             self.spark.createDataFrame([(w.tolist(),)], "w array<double>").coalesce(1).write.mode("overwrite").parquet(where)
         return np.array(self.spark.read.schema("w array<double>").parquet(where).first()[0])
 
-    def _append(self, name: str, df: DataFrame, by: str) -> None:
-        df.select(*[c.split()[0] for c in (self.CLASSES if name == "classes" else self.KEYS).split(", ")]).repartition(self.buckets, by).write.insertInto(self.names[name])
+    def _append(self, name: str, df: DataFrame, by: str, attempt: int) -> None:
+        columns = [c.split()[0] for c in (self.CLASSES if name == "classes" else self.KEYS).split(", ")]
+        df.select(*columns[:-1]).repartition(self.buckets, by).withColumn("attempt", F.lit(attempt).cast("bigint")).write.insertInto(self.names[name])
 
     def candidates(self, classes: DataFrame, attempt: int) -> DataFrame:
         """id, other: ids of classes of a batch and of accepted ones, the batch's own among them, that share a seed and may be near-equal."""
@@ -221,9 +222,9 @@ class History:
         is_new = F.col("first_batch").isNull()
         one = one.select("class", "id", "n", "sig0", "sig1", "tokens", is_new.alias("is_new"), F.coalesce("first_batch", F.lit(batch)).alias("first_batch"), F.when(is_new, F.col("f.occurrence_id")).otherwise(F.col("first_occurrence")).alias("first_occurrence"), F.when(is_new, F.col("f.passage_id")).otherwise(F.col("first_passage")).alias("first_passage"))
         one = written(one, "p6-classes")
-        new = one.filter("is_new").withColumn("attempt", F.lit(attempt).cast("bigint"))
+        new = one.filter("is_new")
         with ThreadPoolExecutor(2) as both:
-            jobs = [both.submit(self._append, "classes", new, "id"), both.submit(self._append, "keys", seed_rows(new, "id", "sig0", "sig1", "attempt"), "key")]
+            jobs = [both.submit(self._append, "classes", new, "id", attempt), both.submit(self._append, "keys", seed_rows(new, "id", "sig0", "sig1"), "key", attempt)]
             for j in jobs:
                 j.result()
         exact = one.filter(~F.col("is_new")).select("class", F.struct(F.col("first_batch").alias("batch"), F.col("first_occurrence").alias("occurrence"), F.col("first_passage").alias("passage"), F.lit("exact").alias("kind"), F.lit(None).cast("double").alias("score")).alias("m"))
@@ -235,11 +236,11 @@ class History:
             matches = exact.unionByName(close).groupBy("class").agg(F.min_by("m", F.struct("m.batch", "m.occurrence")).alias("m"))
         self.spark.createDataFrame([(batch, attempt)], "batch int, attempt bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         self.attempts[attempt] = batch
-        return rows.select("occurrence_id", "hash", "class").join(matches, "class", "left")
+        return rows.select("occurrence_id", "hash", "class").join(written(matches, "p6-matches"), "class", "left")
 
     def links(self, one: DataFrame, attempt: int) -> DataFrame:
         """Verified near-equal pairs of classes of a batch with accepted ones, of two of the batch once: class, first_batch, first_occurrence, other_class, other_batch, other_occurrence, other_passage, edits, score."""
-        pairs = self.candidates(one, attempt)
+        pairs = written(self.candidates(one, attempt), "p6-pairs")  # a table knows its size: few pairs are broadcast, and no tokens are shuffled
         mine = one.select("id", "class", "tokens", "first_batch", "first_occurrence")
         theirs = self.read("classes", attempt).select(F.col("id").alias("other"), F.col("class").alias("other_class"), F.col("tokens").alias("other_tokens"), F.col("first_batch").alias("other_batch"), F.col("first_occurrence").alias("other_occurrence"), F.col("first_passage").alias("other_passage"))
         return written(verified(pairs.join(mine, "id").join(theirs, "other").drop("id", "other"), self.weights(one)), "p6-links")
@@ -323,7 +324,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "occurrence_id bigint, batch_no int, first_passage_id string, kind string, score double")
     kept = table(spark, sf_dir, "passage_occurrence").select(F.col("passage_id").alias("first_passage_id"))
     old = table(spark, sf_dir, "seen_hashes").filter("first_passage_id is not null and content_hash is not null").join(kept, "first_passage_id", "left_anti")
-    old = old.groupBy(F.col("content_hash").alias("hash")).agg(F.min("first_passage_id").alias("old_id"))
+    old = written(old.groupBy(F.col("content_hash").alias("hash")).agg(F.min("first_passage_id").alias("old_id")), "p6-old")
     seen = F.col("old_id").isNotNull()
     return out.filter("batch_no > 0").join(old, "hash", "left").select(
         "occurrence_id", "batch_no", F.coalesce("old_id", "m.passage").alias("first_passage_id"),

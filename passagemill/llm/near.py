@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .words import gram_hashes, word_ids
 
 ONE_IN = 6
-CELLS = 128
+CELLS, WIDE_CELLS = 128, 512
 
 
 def most_edits(n: int, m: int | None = None) -> int:
@@ -51,10 +51,10 @@ def probes_of(ids: np.ndarray) -> list[np.ndarray]:
     return [gram_hashes(ids, q).view(np.int64) for q in sorted({seed_length(m) for m in partners})]
 
 
-def signature_of(ids: np.ndarray) -> np.ndarray:
-    """Parity of the number of words in each of CELLS cells, as two signed 64-bit numbers."""
-    cell = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=CELLS) & 1).astype(np.uint8)).view(np.int64)
+def signature_of(ids: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Parity of the number of words in each of so many cells, as signed 64-bit numbers."""
+    cell = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
 
 def word_counts_allow(a: list[bytes], b: list[bytes], cells: int = 1024, at_once: int = 2000) -> np.ndarray:
@@ -72,7 +72,7 @@ def word_counts_allow(a: list[bytes], b: list[bytes], cells: int = 1024, at_once
 
 
 def with_classes(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the column text by class (128-bit hash of the word sequence), id (its first 64 bits, for narrow rows), n (words), sig0, sig1 and tokens (words as 32-bit hashes). A text without any word has a null class."""
+    """Replace the column text by class (128-bit hash of the word sequence), id (its first 64 bits, for narrow rows), n (words), sig0, sig1 (signature), wide (one of WIDE_CELLS cells, for pairs) and tokens (words as 32-bit hashes). A text without any word has a null class."""
     rest = [f for f in df.schema.fields if f.name != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,10 +87,11 @@ def with_classes(df: DataFrame, text: str = "text") -> DataFrame:
                 n=pd.Series([len(x) for x in ids], dtype="int32", index=b.index),
                 sig0=pd.Series([s[0] for s in sig], dtype="int64", index=b.index),
                 sig1=pd.Series([s[1] for s in sig], dtype="int64", index=b.index),
+                wide=pd.Series([signature_of(x, WIDE_CELLS) for x in ids], dtype="object", index=b.index),
                 tokens=pd.Series([x.tobytes() if s else None for x, s in zip(ids, some)], dtype="object", index=b.index),
             )
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["class binary", "id bigint", "n int", "sig0 bigint", "sig1 bigint", "tokens binary"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["class binary", "id bigint", "n int", "sig0 bigint", "sig1 bigint", "wide array<bigint>", "tokens binary"])
     return df.mapInPandas(run, schema)
 
 
@@ -126,3 +127,9 @@ def possible(a: str, b: str) -> Column:
     most = F.floor(F.greatest(col(a, "n"), col(b, "n")) / ONE_IN)
     apart = F.bit_count(col(a, "sig0").bitwiseXOR(col(b, "sig0"))) + F.bit_count(col(a, "sig1").bitwiseXOR(col(b, "sig1")))
     return (F.abs(col(a, "n") - col(b, "n")) <= most) & (F.abs(col(a, "pos") - col(b, "pos")) <= most) & (apart <= 2 * most)
+
+
+def wide_possible() -> Column:
+    """Whether a pair (n, wide, other_n, other_wide) may be near-equal."""
+    apart = F.aggregate(F.zip_with("wide", "other_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return apart <= 2 * F.floor(F.greatest("n", "other_n") / ONE_IN)

@@ -280,7 +280,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlaps(rows: DataFrame, shard_words: int = SHARD_WORDS, routed: int = ROUTED) -> tuple[DataFrame, DataFrame]:
     """The rows with their class, and the links class (of evaluation rows), partner (of training rows), edits, spans, covered, longest: every nearly equal pair of classes."""
     spark = rows.sparkSession
-    rows = written(with_classes(rows).filter("class is not null"), "p2-rows")
+    rows = written(with_classes(rows).filter("class is not null").drop("wide"), "p2-rows")
     train, ev = F.col("split") == "train", F.col("split") != "train"
     classes = rows.groupBy("class").agg(F.bool_or(train).alias("in_train"), F.bool_or(ev).alias("in_eval"), *[F.first(c).alias(c) for c in ("id", "n", "sig0", "sig1", "tokens")])
     classes = written(classes, "p2-classes")

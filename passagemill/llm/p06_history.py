@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import delete_on_exit, exists, scratch_dir, table, written
-from .near import ONE_IN, most_edits, possible, probe_rows, seed_rows, with_classes, word_counts_allow
+from .near import ONE_IN, most_edits, possible, probe_rows, seed_rows, wide_possible, with_classes, word_counts_allow
 from .words import edit_distance_within, gram_hashes
 
 SAMPLE_TEXTS = 300
@@ -143,7 +143,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 class History:
     """The accepted passages under a path: classes, keys, parents, commits, and the weights of the score."""
 
-    CLASSES = "class binary, id bigint, n int, first_batch int, first_occurrence bigint, first_passage string, tokens binary, attempt bigint"
+    CLASSES = "class binary, id bigint, n int, first_batch int, first_occurrence bigint, first_passage string, wide array<bigint>, tokens binary, attempt bigint"
     KEYS = "key bigint, pos int, n int, id bigint, sig0 bigint, sig1 bigint, attempt bigint"
     PARENTS = "class binary, parent struct<first_batch: int, first_occurrence: bigint, class: binary>, batch int, attempt bigint"
 
@@ -215,12 +215,12 @@ class History:
         """
         attempt = uuid.uuid4().int >> 65
         rows = rows if "tokens" in rows.columns else written(with_classes(rows), "p6-rows")
-        one = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("occurrence_id", "passage_id")).alias("f"), *[F.first(c).alias(c) for c in ("id", "n", "sig0", "sig1", "tokens")])
+        one = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("occurrence_id", "passage_id")).alias("f"), *[F.first(c).alias(c) for c in ("id", "n", "sig0", "sig1", "wide", "tokens")])
         stored = self.read("classes").select(F.col("class").alias("_c"), "id", "first_batch", "first_occurrence", "first_passage")
         known = one.select("class", "id").join(stored, "id").filter(F.col("class") == F.col("_c")).drop("_c", "id")
         one = one.join(known, "class", "left")
         is_new = F.col("first_batch").isNull()
-        one = one.select("class", "id", "n", "sig0", "sig1", "tokens", is_new.alias("is_new"), F.coalesce("first_batch", F.lit(batch)).alias("first_batch"), F.when(is_new, F.col("f.occurrence_id")).otherwise(F.col("first_occurrence")).alias("first_occurrence"), F.when(is_new, F.col("f.passage_id")).otherwise(F.col("first_passage")).alias("first_passage"))
+        one = one.select("class", "id", "n", "sig0", "sig1", "wide", "tokens", is_new.alias("is_new"), F.coalesce("first_batch", F.lit(batch)).alias("first_batch"), F.when(is_new, F.col("f.occurrence_id")).otherwise(F.col("first_occurrence")).alias("first_occurrence"), F.when(is_new, F.col("f.passage_id")).otherwise(F.col("first_passage")).alias("first_passage"))
         one = written(one, "p6-classes")
         new = one.filter("is_new")
         with ThreadPoolExecutor(2) as both:
@@ -240,9 +240,11 @@ class History:
 
     def links(self, one: DataFrame, attempt: int) -> DataFrame:
         """Verified near-equal pairs of classes of a batch with accepted ones, of two of the batch once: class, first_batch, first_occurrence, other_class, other_batch, other_occurrence, other_passage, edits, score."""
-        pairs = written(self.candidates(one, attempt), "p6-pairs")  # a table knows its size: few pairs are broadcast, and no tokens are shuffled
+        stored = self.read("classes", attempt)
+        pairs = self.candidates(one, attempt).join(one.select("id", "n", "wide"), "id").join(stored.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("wide").alias("other_wide")), "other")
+        pairs = written(pairs.filter(wide_possible()).select("id", "other"), "p6-pairs")  # few: they are broadcast, and no tokens are shuffled
         mine = one.select("id", "class", "tokens", "first_batch", "first_occurrence")
-        theirs = self.read("classes", attempt).select(F.col("id").alias("other"), F.col("class").alias("other_class"), F.col("tokens").alias("other_tokens"), F.col("first_batch").alias("other_batch"), F.col("first_occurrence").alias("other_occurrence"), F.col("first_passage").alias("other_passage"))
+        theirs = stored.select(F.col("id").alias("other"), F.col("class").alias("other_class"), F.col("tokens").alias("other_tokens"), F.col("first_batch").alias("other_batch"), F.col("first_occurrence").alias("other_occurrence"), F.col("first_passage").alias("other_passage"))
         return written(verified(pairs.join(mine, "id").join(theirs, "other").drop("id", "other"), self.weights(one)), "p6-links")
 
     def parents(self) -> DataFrame:

@@ -228,5 +228,9 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Body and frame lines per page or chunk."""
-    return judged(pages(spark, sf_dir)).groupBy("source_table", "row_id").agg(F.count_if("is_body").alias("body_lines"), F.count_if(~F.col("is_body")).alias("frame_lines"))
+    """source_table, row_id, main_text, body_lines, frame_lines of each page and chunk: its body lines in order, each as it stands. Empty where no line is body, or none at all."""
+    rows = pages(spark, sf_dir)
+    lines = judged(rows).groupBy("source_table", "row_id").agg(F.array_sort(F.collect_list(F.when(F.col("is_body"), F.col("line_no")))).alias("body"), F.count_if(~F.col("is_body")).alias("frame_lines"))
+    x = rows.select("source_table", "row_id", F.split("text", "\n").alias("line")).join(lines, ["source_table", "row_id"], "left")
+    text = F.array_join(F.transform("body", lambda i: F.get("line", i)), "\n")
+    return x.select("source_table", "row_id", F.coalesce(text, F.lit("")).alias("main_text"), F.coalesce(F.size("body"), F.lit(0)).alias("body_lines"), F.coalesce("frame_lines", F.lit(0)).alias("frame_lines"))

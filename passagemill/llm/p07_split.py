@@ -40,16 +40,15 @@ def depths(text: str, ends: list[int]) -> list[float]:
         left, right = sum(units[max(0, i - BLOCK) : i], Counter()), sum(units[i : i + BLOCK], Counter())
         norm = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
         sims.append(sum(v * right[w] for w, v in left.items()) / norm if norm else 0.0)
-    out = []
-    for i, s in enumerate(sims):
-        l = i
-        while l > 0 and sims[l - 1] >= sims[l]:
-            l -= 1
-        r = i
-        while r + 1 < len(sims) and sims[r + 1] >= sims[r]:
-            r += 1
-        out.append(sims[l] - s + sims[r] - s)
-    return out
+    # the peak at the end of the climb to either side; who climbs on shares the neighbour's
+    left, right = sims[:], sims[:]
+    for i in range(1, len(sims)):
+        if sims[i - 1] >= sims[i]:
+            left[i] = left[i - 1]
+    for i in range(len(sims) - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            right[i] = right[i + 1]
+    return [l - s + r - s for l, s, r in zip(left, sims, right)]
 
 
 LINE_END = re.compile(r"\n+\s*")
@@ -65,6 +64,13 @@ def unit_ends(text: str, model: BoundaryModel) -> list[int]:
     return sorted(out)
 
 
+def after_line(text: str, e: int) -> bool:
+    """Whether a line break, blanks aside, is what stands before a place."""
+    while e and text[e - 1] in " \t\r":
+        e -= 1
+    return e > 0 and text[e - 1] == "\n"
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, model: BoundaryModel | None = None) -> list[tuple[int, int, int]]:
     """(begin with overlap, begin, end) of each piece, in characters. Sentence ends come from the classifier of problem 3; without a model end marks before white space serve."""
     if not 0 <= overlap < limit:
@@ -73,7 +79,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, model: Bou
         return [(0, 0, len(text))]
     ends = sorted(set([m.end() for m in SENTENCE.finditer(text)] if model is None else unit_ends(text, model)) - {0} | {len(text)})
     depth = dict(zip(ends, depths(text, ends)))
-    paragraph = {e for e in ends if "\n" in text[max(0, e - 3) : e].strip(" \t\r")[-2:] or text[:e].rstrip(" \t\r").endswith("\n")} if "\n" in text else set()
+    paragraph = {e for e in ends if "\n" in text[max(0, e - 3) : e].strip(" \t\r")[-2:] or after_line(text, e)} if "\n" in text else set()
     words = [m.end() for m in WORD_END.finditer(text)]
     word_at = np.array(words, dtype=np.int64)
     ends_at = np.array(ends, dtype=np.int64)

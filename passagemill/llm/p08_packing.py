@@ -106,8 +106,9 @@ def assignments(spark: SparkSession, sf_dir: str, targets: dict[str, float] | No
     packers = max(1, -(-total // PACKER_TOKENS))
     dealt = sizes.withColumn("packer", F.pmod(F.xxhash64("doc_id"), F.lit(packers)).cast("int"))
     supply = dealt.groupBy("packer", "source").agg(F.sum("n_tokens").alias("tokens"))
+    target = F.lit(0.0) if not targets else F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("source")], F.lit(0.0))
     by_packer, by_source = Window.partitionBy("packer"), Window.partitionBy("source")
-    share = (F.sum("tokens").over(by_source) / F.lit(max(1, total))) if targets is None else F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("source")], F.lit(0.0))
+    share = (F.sum("tokens").over(by_source) / F.lit(max(1, total))) if targets is None else target
     want = supply.withColumn("share", share).withColumn("lack", F.col("share") * F.sum("tokens").over(by_packer) - F.col("tokens"))
     # what the packers before lacked of a source is this packer's first credit
     want = want.withColumn("carry", F.coalesce(F.sum("lack").over(by_source.orderBy("packer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -136,3 +137,11 @@ def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.split_part("container_id", F.lit("-"), F.lit(1)).cast("int").alias("packer")).agg(
         F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most_tokens"), F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 6).alias("used")
     )
+
+
+def equal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packer, window_no, source, tokens, share: what each window holds of each source if all sources are to have equal shares, whatever their supply. Sources that run out leave their share to the others."""
+    names = [r.source for r in table(spark, sf_dir, "documents").filter("source is not null").select("source").distinct().collect()]  # as many as the mixture has entries
+    a = assignments(spark, sf_dir, {s: 1.0 / len(names) for s in names})
+    x = a.groupBy(F.split_part("container_id", F.lit("-"), F.lit(1)).cast("int").alias("packer"), "window_no", "source").agg(F.sum("n_tokens").alias("tokens"))
+    return x.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy("packer", "window_no")), 6))

@@ -24,6 +24,7 @@ REGISTRY = [
     ("p7_pieces", "p07_split", "pieces"),
     ("p8_assignments", "p08_packing", "assignments"),
     ("p8_fill", "p08_packing", "fill"),
+    ("p8_equal_mixture", "p08_packing", "equal_mixture"),
     ("p9_found", "p09_leaks", "found"),
     ("p9_matches", "p09_leaks", "matches"),
     ("p10_found", "p10_residue", "found"),

@@ -230,3 +230,51 @@ def test_percentiles(spark, tmp_path):
     v = np.sort([x["total_backend_ms"] for x in rows if x["language"] == "en"])
     x = got["total_backend_ms", "en"]
     assert x.n == len(v) and x.within_bound and abs(np.searchsorted(v, x.p95) / len(v) - 0.95) <= p5.BOUND
+
+
+def test_windows_keep_a_mixture():
+    """Unequal supply, stated shares: every window but the last ones holds them up to one text, and carried deficits even them out."""
+    from passagemill.llm.p08_packing import pack
+
+    r = random.Random(8)
+    supply = {"a": 4000, "b": 1500, "c": 900}
+    items, k = [], 0
+    for s, n in supply.items():
+        for _ in range(n):
+            items.append((k := k + 1, s, r.randrange(20, 700)))
+    share = {"a": 0.6, "b": 0.25, "c": 0.15}
+    rows = pack(items, share, {}, 2048, 32)
+    assert sorted({(d, e) for _, _, d, _, _, e, _ in rows}) == sorted((d, n) for d, _, n in items)
+    of: dict = {}
+    for _, w, _, _, b, e, s in rows:
+        of.setdefault(w, {}).setdefault(s, 0)
+        of[w][s] += e - b
+    live = min(max(w for w in of if s in of[w]) for s in supply)  # from here on a source has run out
+    assert live > 5
+    total = dict.fromkeys(supply, 0)
+    for w in range(live):
+        for s, x in share.items():
+            total[s] += of[w].get(s, 0)
+            assert abs(total[s] - x * 2048 * 32 * (w + 1)) < 700
+
+
+def test_spaced_seeds_catch_substitutions():
+    """Where every eighth word differs no ten words in a row are equal; the masks with gaps find the stretch, the full mask alone does not."""
+    from passagemill.llm import p09_leaks as P
+
+    item = " ".join(f"w{i}" for i in range(40))
+    text = " ".join(f"w{i}" if i % 9 else f"x{i}" for i in range(40))
+    table = P.Items([(1, item)])
+    assert [x[3] >= 2 * P.WINDOW and x[2] < P.WINDOW for x in table.search([P.number(text, table.vocab)])] == [True]
+    table.tables = table.tables[:1]
+    assert table.search([P.number(text, table.vocab)]) == []
+
+
+def test_main_text(spark, tmp_path):
+    """The body of a page comes out as it stands, and is empty for a page without body or lines."""
+    from passagemill.llm import p01_boilerplate as P
+
+    body = "The old mill stands by the river and grinds corn for the village."
+    rows = passages([{"raw_text": t, "origin": "page"} for t in (f"Home | About | Search\n\n{body}\r\n\nHome | Terms | Privacy", None, "", "Home | About | Search")])
+    got = {r.row_id: (r.main_text, r.body_lines) for r in P.main_text(spark, write(tmp_path, passage_occurrence=rows)).collect()}
+    assert got == {1: (body + "\r", 1), 2: ("", 0), 3: ("", 0), 4: ("", 0)}

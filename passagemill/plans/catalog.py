@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import eval_queries, retrieval_queries, text_queries
+from . import eval_queries, retrieval_queries, source_queries, text_queries
 from .pipeline import flagship  # noqa: F401
 
-MODULES = (text_queries, retrieval_queries, eval_queries)
+MODULES = (text_queries, retrieval_queries, eval_queries, source_queries)
 
 
 def queries() -> dict:

@@ -179,7 +179,6 @@ _tk = f"(len({S.toks('text')}) + 2)"
 _q = lambda p: f"CAST(list(k ORDER BY k)[CAST(floor(count(*) * {p} / 100) AS BIGINT) + 1] AS DOUBLE) AS token_p{p}"
 add("agg11_chunk_ablation", _ablation, f"SELECT chunk_strategy, count(DISTINCT parent_passage_id) AS passages, count(*) AS chunks, count(*) FILTER (k > 507) AS rejected, count(*) - count(DISTINCT sha256(text)) AS duplicate_texts, round(avg(k), 1) AS token_mean, max(k) AS token_p100, count(*) * 4096 AS storage_bytes, round(count(*) / greatest(count(DISTINCT parent_passage_id), 1), 3) AS expansion, {_q(50)}, {_q(70)}, {_q(95)} FROM (SELECT *, {_tk} AS k FROM chunk) GROUP BY 1")
 add("agg22_answer_relevance", lambda s, d: _pairs(s, d).select("is_answerable", F.round(T.token_overlap_score(F.col("q"), F.col("a")) * 4 - 3, 6).alias("r")).agg(*[F.count_if((F.col("r") >= t) & F.col("is_answerable")).alias(f"kept_genuine_{i}") for i, t in enumerate((-1.7, -1.0, -0.4))], *[F.count_if((F.col("r") >= t) & ~F.col("is_answerable")).alias(f"kept_fabricated_{i}") for i, t in enumerate((-1.7, -1.0, -0.4))]), "SELECT " + ", ".join(f"count(*) FILTER (r >= {t} AND {a}is_answerable) AS kept_{n}_{i}" for a, n in (("", "genuine"), ("NOT ", "fabricated")) for i, t in enumerate((-1.7, -1.0, -0.4))) + f" FROM (SELECT is_answerable, round({S.overlap_score('q', 'a')} * 4 - 3, 6) AS r FROM {_PAIR})")
-add("smp01_bucket_sample", lambda s, d: results(s, d).withColumn("k", F.row_number().over(Window.partitionBy("is_answerable").orderBy(F.xxhash64(F.lit(42), "query_id"), "query_id"))).filter("k <= 50").select("query_id", "is_answerable"))
 
 # ---- projections, samples and adapters
 _KNOWN = ["input_guard", "language_detect", "query_embed", "local_hybrid_retrieve", "rerank", "answer_extract", "grounding_verify"]
@@ -192,4 +191,3 @@ add("flt06_resume_range", lambda s, d: table(s, d, "passage_occurrence").filter(
 add("srt03_worst_refusals", lambda s, d: results(s, d).filter("is_answerable and not grounded").orderBy("top1", "query_id").limit(5).select("query_id", "top1"), f"SELECT query_id, top1 FROM {RESULTS} WHERE is_answerable AND NOT grounded ORDER BY top1, query_id LIMIT 5")
 add("agg09_floor_index", lambda s, d: L.order_statistics(samples(s, d), ["decision"], "total_backend_ms", {f"p{p}": F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) for p in (50, 90)}), f"SELECT decision, len(l) AS n, l[least(CAST(floor(len(l) * 50 / 100) AS BIGINT), len(l) - 1) + 1] AS p50, l[least(CAST(floor(len(l) * 90 / 100) AS BIGINT), len(l) - 1) + 1] AS p90 FROM (SELECT decision, list(total_backend_ms ORDER BY total_backend_ms) AS l FROM {SAMPLES} WHERE total_backend_ms IS NOT NULL GROUP BY 1)")
 add("jon10_gold_and_distractors", lambda s, d: (lambda x: x.filter("is_gold").select("query_id", F.col("score").alias("gold_score")).join(x.filter("not is_gold").select("query_id", "score"), "query_id").groupBy("query_id").agg(F.count("*").alias("distractors"), F.count_if(F.col("score") > F.col("gold_score")).alias("better")))(scored(s, d).filter("lang = 'en'")), f"SELECT g.query_id, count(*) AS distractors, count(*) FILTER (x.score > g.score) AS better FROM (SELECT * FROM {SCORED} WHERE lang = 'en' AND is_gold) g JOIN (SELECT * FROM {SCORED} WHERE lang = 'en' AND NOT is_gold) x ON x.query_id = g.query_id GROUP BY 1")
-add("jon06_aligned_lines", lambda s, d: table(s, d, "chunk").select("chunk_id", "char_length").join(table(s, d, "chunk").select("chunk_id", F.length("text").alias("chars")), "chunk_id").agg(F.count("*").alias("n"), F.count_if(F.col("char_length") == F.col("chars")).alias("aligned")), "SELECT count(*) AS n, count(*) FILTER (a.char_length = length(b.text)) AS aligned FROM chunk a JOIN chunk b USING (chunk_id)")

@@ -110,7 +110,6 @@ add(
     r"SELECT name, language, split, segment, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY split = 'validation', name) AS position FROM (SELECT DISTINCT config_language || '_' || split_part(source_shard, '/', 1) || '_segment_' || lpad(CAST(source_row % 5 AS VARCHAR), 4, '0') AS name, config_language AS language, split_part(source_shard, '/', 1) AS split, CAST(source_row % 5 AS INT) AS segment FROM passage_occurrence)) WHERE position <= 3",
 )
 add("src04_config_of_file", lambda s, d: table(s, d, "passage_occurrence").groupBy("source_shard").agg(F.min("config_language").alias("config_language")).select("source_shard", "config_language", (readers.config_of(F.col("source_shard")) == F.col("config_language")).alias("same")), "SELECT source_shard, min(config_language) AS config_language, true AS same FROM passage_occurrence GROUP BY 1")
-add("src06_fields", lambda s, d: s.createDataFrame([(f,) for f in table(s, d, "passage_occurrence").schema.fieldNames()], "field string"), "SELECT column_name AS field FROM (DESCRIBE passage_occurrence)")
 
 
 def _fetch(s, d):

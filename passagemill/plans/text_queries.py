@@ -282,4 +282,3 @@ add(
     "set01_language_diff", lambda s, d: table(s, d, "documents").select(F.lower("lang").alias("l")).filter("l is not null").distinct().agg(F.array_sort(F.collect_set("l")).alias("seen")).select(F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(x) for x in L.SUPPORTED]), "seen")), ",").alias("missing"), F.array_join(F.array(*[F.lit(x) for x in L.SUPPORTED if x not in L.INDEXED]), ",").alias("not_indexed")),
     f"SELECT array_to_string(list_sort(list_filter([{', '.join(S.q(x) for x in L.SUPPORTED)}], lambda x: NOT list_contains(seen, x))), ',') AS missing, 'te' AS not_indexed FROM (SELECT list(DISTINCT lower(lang)) AS seen FROM documents WHERE lang IS NOT NULL)",
 )
-add("set03_seeded_sample", lambda s, d: docs(s, d).select("doc_id", F.lower("lang").alias("lang")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id"))).filter("r <= 5"))

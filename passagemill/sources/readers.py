@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 #: Three-letter file prefixes of the configurations.
 PREFIXES = {"as": "asm", "bn": "ben", "gu": "guj", "hi": "hin", "kn": "kan", "ml": "mal", "mr": "mar", "ne": "nep", "or": "ori", "pa": "pan", "sa": "san", "ta": "tam", "te": "tel", "ur": "urd"}
 #: Name of a segment directory: language, split, number.
@@ -40,6 +41,17 @@ def language_queries(rows: DataFrame, n: int) -> DataFrame:
     return rows.filter("query <> '' and Eng_Query <> ''").select("query_id", "query", "Eng_Query").orderBy("query_id").limit(n // 2).select("query_id", F.explode(two).alias("x")).select("query_id", "x.*")
 
 
+def seeded_sample(rows: DataFrame, group: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows of each group, in the order of a hash of seed and key, so any engine draws the same; ties go by key. Null groups are groups. Only the n first of a map task reach the window."""
+    w = Window.partitionBy(*group).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def over_read_sample(rows: DataFrame, key: str, n: int, times: int = 5, seed: int = 42) -> DataFrame:
+    """n rows out of the first n * times in key order, by a hash of seed and key."""
+    return rows.orderBy(key).limit(n * times).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)
+
+
 def discover(spark: SparkSession, root: str, expected: Iterable[str] = tuple(PREFIXES)) -> DataFrame:
     """config, splits, fields, missing: what is there of the expected configurations, read from footers only."""
     rows = []
@@ -47,7 +59,7 @@ def discover(spark: SparkSession, root: str, expected: Iterable[str] = tuple(PRE
         splits, fields = [], []
         for s in ("train", "validation"):
             path = os.path.join(root, file_name(c, s))
-            if glob.glob(path):
+            if exists(spark, path):
                 splits.append(s)
                 fields = sorted(set(fields) | set(spark.read.parquet(path).schema.fieldNames()))
         rows.append((c, splits, fields, not splits))

@@ -52,10 +52,14 @@ def grid_sweep(rows: DataFrame, first: str, second: str, answerable: str, digits
     """false_refusal and false_confidence of each pair of thresholds (first >= a and second >= b). The grid is that of the rounded values; rows are pre-counted on it, so it is small next to the data."""
     a = F.col(answerable)
     cell = rows.groupBy(F.round(first, digits).alias("a"), F.round(second, digits).alias("b")).agg(F.count_if(a).alias("yes"), F.count_if(~a).alias("no"))
-    grid = cell.select(F.col("a").alias("least_first")).distinct().join(cell.select(F.col("b").alias("least_second")).distinct(), F.lit(True))
-    hit = (F.col("a") >= F.col("least_first")) & (F.col("b") >= F.col("least_second"))
+    cell = cell.filter("a is not null and b is not null")
+    every = cell.select("a").distinct().join(cell.select("b").distinct(), F.lit(True)).join(cell, ["a", "b"], "left").fillna(0, ["yes", "no"])  # the result has as many rows
+    # sums over all cells at or above a, then at or above b
+    down = lambda by, order: Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    for by, order in (("b", "a"), ("a", "b")):
+        every = every.withColumns({c: F.sum(c).over(down(by, order)) for c in ("yes", "no")})
     total = rows.agg(F.count_if(a).alias("all_yes"), F.count_if(~a).alias("all_no"))
-    x = grid.join(cell, hit, "left").groupBy("least_first", "least_second").agg(F.coalesce(F.sum("yes"), F.lit(0)).alias("yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("no")).join(F.broadcast(total), F.lit(True))
+    x = every.withColumnsRenamed({"a": "least_first", "b": "least_second"}).join(F.broadcast(total), F.lit(True))
     return x.select("least_first", "least_second", F.round(1 - F.col("yes") / F.greatest("all_yes", F.lit(1)), 6).alias("false_refusal"), F.round(F.col("no") / F.greatest("all_no", F.lit(1)), 6).alias("false_confidence"))
 
 

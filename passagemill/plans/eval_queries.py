@@ -187,7 +187,17 @@ add(
     lambda s, d: samples(s, d).select("language", F.size(F.map_filter("stages_ms", lambda k, v: k.isin(*_KNOWN[:4]))).alias("k")).groupBy("language").agg(F.sum("k").alias("known"), F.count("*").alias("n")),
     f"SELECT language, sum(len(list_filter(map_keys(stages_ms), lambda k: list_contains([{', '.join(S.q(k) for k in _KNOWN[:4])}], k)))) AS known, count(*) AS n FROM {SAMPLES} GROUP BY 1",
 )
-add("flt06_resume_range", lambda s, d: table(s, d, "passage_occurrence").filter("source_row between 10 and 100").groupBy("config_language").agg(F.count("*").alias("n"), F.max("source_row").alias("last_row")), "SELECT config_language, count(*) AS n, max(source_row) AS last_row FROM passage_occurrence WHERE source_row BETWEEN 10 AND 100 GROUP BY 1")
-add("srt03_worst_refusals", lambda s, d: results(s, d).filter("is_answerable and not grounded").orderBy("top1", "query_id").limit(5).select("query_id", "top1"), f"SELECT query_id, top1 FROM {RESULTS} WHERE is_answerable AND NOT grounded ORDER BY top1, query_id LIMIT 5")
 add("agg09_floor_index", lambda s, d: L.order_statistics(samples(s, d), ["decision"], "total_backend_ms", {f"p{p}": F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) for p in (50, 90)}), f"SELECT decision, len(l) AS n, l[least(CAST(floor(len(l) * 50 / 100) AS BIGINT), len(l) - 1) + 1] AS p50, l[least(CAST(floor(len(l) * 90 / 100) AS BIGINT), len(l) - 1) + 1] AS p90 FROM (SELECT decision, list(total_backend_ms ORDER BY total_backend_ms) AS l FROM {SAMPLES} WHERE total_backend_ms IS NOT NULL GROUP BY 1)")
 add("jon10_gold_and_distractors", lambda s, d: (lambda x: x.filter("is_gold").select("query_id", F.col("score").alias("gold_score")).join(x.filter("not is_gold").select("query_id", "score"), "query_id").groupBy("query_id").agg(F.count("*").alias("distractors"), F.count_if(F.col("score") > F.col("gold_score")).alias("better")))(scored(s, d).filter("lang = 'en'")), f"SELECT g.query_id, count(*) AS distractors, count(*) FILTER (x.score > g.score) AS better FROM (SELECT * FROM {SCORED} WHERE lang = 'en' AND is_gold) g JOIN (SELECT * FROM {SCORED} WHERE lang = 'en' AND NOT is_gold) x ON x.query_id = g.query_id GROUP BY 1")
+add("srt03_worst_answerable", lambda s, d: results(s, d).filter("is_answerable").orderBy("top1", "query_id").limit(5).select("query_id", "top1"), f"SELECT query_id, top1 FROM {RESULTS} WHERE is_answerable ORDER BY top1, query_id LIMIT 5")
+
+
+def _resumed(s, d):
+    """What an ingest still has to read of each configuration after the last row that the first batch committed."""
+    o = table(s, d, "passage_occurrence").select("config_language", "source_row", "batch_no")
+    done = o.filter("batch_no = 0").groupBy("config_language").agg(F.max("source_row").alias("last_row"))
+    left = o.join(done, "config_language", "left").filter(F.col("last_row").isNull() | (F.col("source_row") > F.col("last_row")))
+    return left.groupBy("config_language").agg(F.count("*").alias("n"), F.min("source_row").alias("next_row"))
+
+
+add("flt06_resume_position", _resumed, "SELECT config_language, count(*) AS n, min(source_row) AS next_row FROM passage_occurrence LEFT JOIN (SELECT config_language, max(source_row) AS last_row FROM passage_occurrence WHERE batch_no = 0 GROUP BY 1) USING (config_language) WHERE last_row IS NULL OR source_row > last_row GROUP BY 1")

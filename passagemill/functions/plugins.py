@@ -1,7 +1,8 @@
-"""Extension points with deterministic defaults: embedder, reranker, similarity, judge. A model is any object with the same method; it is loaded once per Python worker."""
+"""Extension points with deterministic defaults: embedder, reranker, judge. A model is any object with the same method; it is loaded once per Python worker."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,7 +12,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 
 class Embedder(Protocol):
@@ -110,3 +111,31 @@ def rerank(query: Column, passage: Column, make: Callable[[], Reranker] = Overla
 
     run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, DoubleType())(query, passage)
+
+
+class Judge(Protocol):
+    def judge(self, rows: list[tuple[str, str, str]]) -> list[str]: ...
+
+
+class WordJudge:
+    """The answer stands if at least half of its different words are in the reference; JSON with verdict and reason, as a model would answer."""
+
+    def judge(self, rows: list[tuple[str, str, str]]) -> list[str]:
+        out = []
+        for _, reference, answer in rows:
+            a, r = set(answer.lower().split()), set(reference.lower().split())
+            share = len(a & r) / max(1, len(a))
+            out.append(json.dumps({"verdict": share >= 0.5, "reason": f"{share:.2f} of the words"}))
+        return out
+
+
+def judged(question: Column, reference: Column, answer: Column, make: Callable[[], Judge] = WordJudge) -> Column:
+    """A judge's JSON on an answer: against the passages it should be faithful to, or the reference it should be equal to. Nulls are judged as empty texts."""
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for q, r, a in parts:
+            yield pd.Series(model.judge([(x or "", y or "", z or "") for x, y, z in zip(q, r, a)]), dtype="object")
+
+    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, StringType())(question, reference, answer)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import guards as G
 from ..functions import text as T
+from ..functions.plugins import judged
 from ..operators import answer as A
 from ..operators import calibrate as K
 from ..operators import evalkit as E
 from ..operators import latency as L
+from ..operators import parse as P
 from ..session import table
 from . import sql as S
 from .text_queries import EXAMPLES
@@ -64,8 +66,6 @@ def results(s, d) -> DataFrame:
 RESULTS = f"(SELECT *, top1 >= 1.0 AS grounded, query_id % 4 <> 0 AS verdict, CASE WHEN query_id % 10 = 0 THEN 'timeout' END AS error FROM (SELECT query_id, is_answerable, max(score) AS top1, round(avg(score), 6) AS second FROM {SCORED} WHERE lang = 'en' GROUP BY 1, 2))"
 _rate = lambda t, a: f"round(count(*) FILTER ({t} AND {a}) / greatest(count(*) FILTER ({a}), 1), 4)"
 add("agg04_reliability", lambda s, d: E.reliability(results(s, d)), f"SELECT count(*) FILTER (is_answerable) AS answerable, count(*) FILTER (NOT is_answerable) AS unanswerable, {_rate('NOT grounded', 'is_answerable')} AS false_refusal_rate, {_rate('grounded', 'NOT is_answerable')} AS false_confidence_rate FROM {RESULTS} WHERE error IS NULL")
-add("agg05_faithful", lambda s, d: E.faithfulness(results(s, d)), f"SELECT count(*) AS evaluated, round(count(*) FILTER (verdict) / greatest(count(*), 1), 4) AS faithful_rate, round(count(*) FILTER (NOT verdict) / greatest(count(*), 1), 4) AS hallucination_rate, count(*) FILTER (grounded) AS confident, round(1 - count(*) FILTER (grounded AND NOT verdict) / greatest(count(*) FILTER (grounded), 1), 4) AS self_report_precision FROM {RESULTS}")
-add("agg06_correct", lambda s, d: E.correctness(results(s, d)), f"SELECT count(*) AS evaluated, round(count(*) FILTER (verdict) / greatest(count(*), 1), 4) AS correct_rate FROM {RESULTS}")
 
 
 def _contamination(s, d):
@@ -201,3 +201,20 @@ def _resumed(s, d):
 
 
 add("flt06_resume_position", _resumed, "SELECT config_language, count(*) AS n, min(source_row) AS next_row FROM passage_occurrence LEFT JOIN (SELECT config_language, max(source_row) AS last_row FROM passage_occurrence WHERE batch_no = 0 GROUP BY 1) USING (config_language) WHERE last_row IS NULL OR source_row > last_row GROUP BY 1")
+
+
+def _judged(s, d, against: str) -> DataFrame:
+    """Results with a judge's verdict on the answer: its faithfulness to the passage (text), or its agreement with the reference answer (ref), which only answerable examples have."""
+    ref = table(s, d, "eval_example").dropDuplicates(["query_id"]).select("query_id", F.col("gt_answer_en").alias("ref"))
+    v = _pairs(s, d).join(ref, "query_id").filter(F.col(against).isNotNull()).select("query_id", P.verdicts(judged(F.col("q"), F.col(against), F.col("a"))).alias("v"))
+    return results(s, d).drop("verdict").join(v.select("query_id", F.col("v.verdict").alias("verdict")), "query_id")
+
+
+def _judged_sql(against: str) -> str:
+    words = f"list_distinct({S.toks('a')})"
+    j = f"(SELECT query_id, {S.common(words, S.toks(against))} / greatest(len({words}), 1) >= 0.5 AS verdict FROM {_PAIR} JOIN (SELECT query_id, gt_answer_en AS ref FROM {EXAMPLES}) USING (query_id) WHERE {against} IS NOT NULL)"
+    return f"(SELECT r.* EXCLUDE (verdict), j.verdict FROM {RESULTS} r JOIN {j} j USING (query_id))"
+
+
+add("agg05_faithful", lambda s, d: E.faithfulness(_judged(s, d, "text")), f"SELECT count(*) AS evaluated, round(count(*) FILTER (verdict) / greatest(count(*), 1), 4) AS faithful_rate, round(count(*) FILTER (NOT verdict) / greatest(count(*), 1), 4) AS hallucination_rate, count(*) FILTER (grounded) AS confident, round(1 - count(*) FILTER (grounded AND NOT verdict) / greatest(count(*) FILTER (grounded), 1), 4) AS self_report_precision FROM {_judged_sql("text")}")
+add("agg06_correct", lambda s, d: E.correctness(_judged(s, d, "ref")), f"SELECT count(*) AS evaluated, round(count(*) FILTER (verdict) / greatest(count(*), 1), 4) AS correct_rate FROM {_judged_sql("ref")}")

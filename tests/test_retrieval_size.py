@@ -1,13 +1,19 @@
 """Retrieval moves rows in proportion to documents and answers, not to their product with the questions."""
 
+import random
 import uuid
 
+import duckdb
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 from passagemill.operators import retrieve as R
 from passagemill.plans import pipeline
+from passagemill.plans.retrieval_queries import QUERIES, SQL
+
+from .llm import tables
 
 
 def moved(spark, run):
@@ -47,3 +53,29 @@ def test_nearest_across_batches_and_blocks_of_questions(spark, monkeypatch):
     for q in range(40):  # every vector stands there six or seven times: ties go to the lower key
         s = (v @ v[q]).round(6)
         assert got[q] == sorted(range(600), key=lambda i: (-s[i], i))[:9]
+
+
+@pytest.fixture
+def asked(tmp_path):
+    """400 questions that share words with 500 documents, some keys twice, some texts without words."""
+    r = random.Random(7)
+    word = lambda: r.choice(["The", "of", "is", *(f"t{i}" for i in range(50))])
+    docs = [dict(doc_id=i % 450, lang=r.choice(["EN", "hi", None]), text=r.choice([None, " ", *[" ".join(word() for _ in range(r.randrange(1, 30)))] * 20])) for i in range(500)]
+    questions = [dict(query_id=i, query_en="what is the of " + " ".join(word() for _ in range(r.randrange(3)))) for i in range(400)] + [dict(query_id=900, query_en="none"), dict(query_id=901)]
+    return tables.write(tmp_path, documents=docs, eval_example=questions)
+
+
+def by_sql(folder, name):
+    c = duckdb.connect()
+    for t in ("documents", "eval_example"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return {tuple(r) for r in c.sql(SQL[name]).fetchall()}
+
+
+@pytest.mark.parametrize("doc_block, term_block", [(32_768, 16_384), (1, 90)])
+def test_bm25_as_the_sql_without_a_row_for_each_question_and_document(spark, asked, monkeypatch, doc_block, term_block):
+    monkeypatch.setattr(R, "DOC_BLOCK", doc_block, raising=False)
+    monkeypatch.setattr(R, "TERM_BLOCK", term_block, raising=False)
+    rows, n = moved(spark, lambda: QUERIES["ret02_bm25_topk"](spark, asked))
+    assert set(rows) == by_sql(asked, "ret02_bm25_topk") and len(rows) == len(set(rows))
+    assert doc_block == 1 or n < 500 * 30 + 2 * len(rows)  # the join had a row for each pair with a common word: about 180,000

@@ -79,3 +79,8 @@ def test_bm25_as_the_sql_without_a_row_for_each_question_and_document(spark, ask
     rows, n = moved(spark, lambda: QUERIES["ret02_bm25_topk"](spark, asked))
     assert set(rows) == by_sql(asked, "ret02_bm25_topk") and len(rows) == len(set(rows))
     assert doc_block == 1 or n < 500 * 30 + 2 * len(rows)  # the join had a row for each pair with a common word: about 180,000
+
+
+def test_late_fetch_as_the_sql(spark, asked):
+    rows, n = moved(spark, lambda: QUERIES["src08_late_fetch"](spark, asked))
+    assert sorted(rows) == sorted(by_sql(asked, "src08_late_fetch")) and n < 500 * 30 + 3 * len(rows)

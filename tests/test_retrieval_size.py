@@ -84,3 +84,18 @@ def test_bm25_as_the_sql_without_a_row_for_each_question_and_document(spark, ask
 def test_late_fetch_as_the_sql(spark, asked):
     rows, n = moved(spark, lambda: QUERIES["src08_late_fetch"](spark, asked))
     assert sorted(rows) == sorted(by_sql(asked, "src08_late_fetch")) and n < 500 * 30 + 3 * len(rows)
+
+
+def test_padding_fills_each_shard_once(spark, asked):
+    rows, n = moved(spark, lambda: QUERIES["ret02_bm25_padded"](spark, asked).select("query_id", "shard", "key", F.expr("round(score * 1e4) / 1e4"), "rank"))
+    found = {r for r in rows if r[3] > 0}
+    assert found == by_sql(asked, "ret02_bm25_topk") and n < 500 * 30 + 6 * len(rows)
+    keys, lists = {}, {}
+    for k, s in spark.read.parquet(f"{asked}/documents.parquet").selectExpr("doc_id", "coalesce(lower(lang), 'und')").distinct().collect():
+        keys.setdefault(s, []).append(k)
+    for q, s, k, _, rank in sorted(rows, key=lambda r: (r[0], r[1], r[4])):
+        lists.setdefault((q, s), []).append(k)
+    assert set(lists) == {(q, s) for q in [*range(400), 900, 901] for s in keys}
+    for (q, s), got in lists.items():
+        scored = [r[2] for r in sorted((r for r in found if r[:2] == (q, s)), key=lambda r: r[4])]
+        assert got == (scored + [k for k in sorted(keys[s]) if k not in scored])[:10]

@@ -99,3 +99,19 @@ def test_padding_fills_each_shard_once(spark, asked):
     for (q, s), got in lists.items():
         scored = [r[2] for r in sorted((r for r in found if r[:2] == (q, s)), key=lambda r: r[4])]
         assert got == (scored + [k for k in sorted(keys[s]) if k not in scored])[:10]
+
+
+def test_hybrid_ranks_only_routed_shards(spark):
+    r = random.Random(11)
+    text = lambda: " ".join(r.choice(["the", "of", *(f"t{i}" for i in range(40))]) for _ in range(15))
+    corpus = spark.createDataFrame([(i, r.choice(["hi", "mr", "bn", "te"]), text(), [r.random() for _ in range(128)]) for i in range(400)], "key long, shard string, text string, vector array<float>").repartition(8)
+    requests = spark.createDataFrame([(i, "the " + r.choice(["of t1", "t2 t3", "t4", "none", "কী t5"])) for i in range(200)], "query_id long, question string")
+    rows, n = moved(spark, lambda: pipeline.hybrid_search(corpus, requests, 5).select("query_id", "shard", "key", "score", "rank"))
+    to = {i: ({"bn", "hi"} if "কী" in q else {"hi", "mr"}) for i, q in requests.collect()}
+    assert {x[0] for x in rows} == set(to) and all(x[1] in to[x[0]] for x in rows)
+    every = R.bm25_search(corpus, requests, "key", "shard", "text", "query_id", "question", 30)
+    routed = spark.createDataFrame([(i, s) for i, ss in to.items() for s in ss], "query_id long, shard string")
+    within = R.bm25_search(corpus, requests, "key", "shard", "text", "query_id", "question", 30, within=routed)
+    same = lambda d: {tuple(x) for x in d.select("query_id", "shard", "key", "score", "rank").collect()}
+    assert same(within) == same(every.join(routed, ["query_id", "shard"], "left_semi"))
+    assert n < 6 * 200 * 2 * 30  # either list of 30, of two shards a question, is ranked, joined and fused; it was 132,496
